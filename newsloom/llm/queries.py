@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, quality, toxicity
+from newsloom.llm import bags, bpe, licences, quality, sharding, suffixes, toxicity
 from newsloom.llm.sampling import split
 
+SHARD_BYTES = 1 << 20
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -16,6 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.deduplicate(table(spark, sf_dir, "documents"), texts_too=False)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bags.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, "toxic", split(F.col("doc_id"), 5) != 0)
@@ -35,5 +49,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, ["doc_id"], name="score").select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op5_toxicity, op6_byte_bpe, op8_quality)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op4_bag_minhash, op5_toxicity, op6_byte_bpe, op8_quality, op9_sharding)}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": licences.oracle(), "op9_sharding": sharding.oracle(SHARD_BYTES)}
