@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bags, bpe, licences, quality, sharding, suffixes, toxicity
+from newsloom.llm import bags, bpe, licences, quality, sharding, spots, suffixes, toxicity
 from newsloom.llm.sampling import split
 
 SHARD_BYTES = 1 << 20
@@ -26,6 +26,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op3_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.compared(table(spark, sf_dir, "documents"))
+
+
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bags.classes(table(spark, sf_dir, "documents"))
 
@@ -53,5 +57,5 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op4_bag_minhash, op5_toxicity, op6_byte_bpe, op8_quality, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_spot_signatures, op4_bag_minhash, op5_toxicity, op6_byte_bpe, op8_quality, op9_sharding)}
 ORACLE_SQL: dict[str, str] = {"op2_license_scan": licences.oracle(), "op9_sharding": sharding.oracle(SHARD_BYTES)}
