@@ -211,7 +211,8 @@ class Chunk:
         run = np.flatnonzero(shared[number])
         total, down = prefix_hashes(self.raw)
         s, e = self.start[run], self.start[run] + self.count[run] + LENGTH - 1
-        content = mix((total[e] - total[s]) * down[s] + (self.count[run] << 8 | self.lead[run]).astype(np.uint64))
+        shape = mix((self.count[run] << 8 | self.lead[run]).astype(np.uint64) + U(1))
+        content = mix(mix((total[e] - total[s]) * down[s]) + shape)
         order = np.lexsort((content, self.hashed[run], self.bucket[run]))
         r, c = run[order], content[order]
         if len(r):
