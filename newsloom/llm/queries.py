@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bags, bpe, leaks, licences, quality, sharding, spots, suffixes, toxicity
+from newsloom.llm import bags, bpe, leaks, licences, passages, quality, sharding, spots, suffixes, toxicity
 from newsloom.llm.sampling import split
 
 SHARD_BYTES = 1 << 20
@@ -46,6 +46,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, ids=False)
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels, "quality", split(F.col("doc_id"), 4) != 2)
@@ -61,5 +65,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_spot_signatures, op4_bag_minhash, op5_toxicity, op6_byte_bpe, op8_quality, op9_sharding, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_spot_signatures, op4_bag_minhash, op5_toxicity, op6_byte_bpe, op7_compact_windows, op8_quality, op9_sharding, op10_decontamination)}
 ORACLE_SQL: dict[str, str] = {"op2_license_scan": licences.oracle(), "op9_sharding": sharding.oracle(SHARD_BYTES)}
