@@ -1,6 +1,546 @@
-"""All queries of the engine, by name, with the SQL that must give the same rows."""
+"""All queries of the engine, by name, with the SQL that must give the same rows.
+
+The driver tables stand in for the model: events for visits and runs, orders for editions, part for
+ranked items (its brand is the edition), documents for issue bodies and story texts, pages for
+fetched pages. A taxonomy of words that the fixtures hold takes the place of the real one.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from newsloom.functions import fixed, text, urls
+from newsloom.operators import dedup, inventory, ranking, scoring, selection, store, validate, visits
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+TERMS = {"alpha": r"\bthat\b", "beta": r"\bwith\b", "gamma": r"\bthis\b", "delta": r"\bfrom\b", "flag": r"license"}
+PRIORITY = ("alpha", "beta", "gamma", "delta")
+PROFILE = {
+    "version": 1, "storyBudget": 7, "storyBudgetRange": [5, 14], "exceptionalStoryOverride": True, "safeguards": {"watchPermissions": True, "watchGeography": True},
+    "weights": [{"id": "alpha", "label": "Alpha", "value": 4}, {"id": "beta", "label": "Beta", "value": 3}, {"id": "gamma", "label": "Gamma", "value": 1}, {"id": "delta", "label": "Delta", "value": 2}, {"id": "newly", "label": "New", "value": 3}],
+    "pinnedCategories": ["Delta"], "watching": [],
+}
+
+
+# --- visits ---------------------------------------------------------------------------------
+
+VISITS = """v AS (SELECT event_id AS id, user_id AS visitor_key, CAST(ts AS DATE) AS visit_day, ts AS visited_at, event_type AS country,
+  json_extract_string(props, '$.k') AS region FROM events)"""
+FIRST = "f AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY visitor_key, visit_day ORDER BY visited_at, id) = 1)"
+
+
+def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("visitor_key"), F.to_date("ts").alias("visit_day"), F.col("ts").alias("visited_at"),
+        F.col("event_type").alias("country"), F.get_json_object("props", "$.k").alias("region"),
+    )
+
+
+@query(f"WITH {VISITS}, {FIRST} SELECT id, visitor_key, CAST(visit_day AS VARCHAR) AS visit_day, visited_at FROM f")
+def visits_first_per_day(spark, sf_dir):
+    return visits.first_per_day(_visits(spark, sf_dir)).select("id", "visitor_key", F.col("visit_day").cast("string"), "visited_at")
+
+
+@query(f"""WITH {VISITS}, {FIRST}, t AS (SELECT max(visit_day) AS d FROM f)
+SELECT count(*) AS total_entries, count(DISTINCT visitor_key) AS unique_visitors, count(*) FILTER (visit_day = d) AS today_entries,
+  count(DISTINCT visitor_key) FILTER (visit_day = d) AS today_unique FROM f, t""")
+def visits_totals(spark, sf_dir):
+    first = visits.first_per_day(_visits(spark, sf_dir))
+    today = table(spark, sf_dir, "events").agg(F.max(F.to_date("ts"))).first()[0]
+    return visits.totals(first, F.lit(today))
+
+
+@query(f"""WITH {VISITS}, {FIRST} SELECT coalesce(nullif(country, ''), 'Unknown') AS country, coalesce(nullif(region, ''), 'Unknown') AS region,
+  count(DISTINCT visitor_key) AS unique_visitors FROM f GROUP BY ALL ORDER BY unique_visitors DESC, country, region LIMIT 30""")
+def visits_by_location(spark, sf_dir):
+    return visits.by_location(visits.first_per_day(_visits(spark, sf_dir)))
+
+
+@query(f"WITH {VISITS} SELECT id, visitor_key, CAST(visit_day AS VARCHAR) AS visit_day, visited_at, country, region FROM v ORDER BY visited_at DESC, id LIMIT 50")
+def visits_recent(spark, sf_dir):
+    return visits.recent(_visits(spark, sf_dir), "not a number").withColumn("visit_day", F.col("visit_day").cast("string"))
+
+
+def _latest(spark, sf_dir):
+    return table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+
+
+@query(f"WITH {VISITS} SELECT id, visitor_key, visited_at FROM v WHERE visited_at >= (SELECT max(visited_at) FROM v) - INTERVAL 30 DAYS")
+def visits_retention_30d(spark, sf_dir):
+    return visits.retained(_visits(spark, sf_dir), F.lit(_latest(spark, sf_dir))).select("id", "visitor_key", "visited_at")
+
+
+@query(f"""WITH {VISITS}, o AS (SELECT * FROM v WHERE id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY visitor_key, visit_day ORDER BY visited_at, id) = 1),
+n AS (SELECT * FROM v WHERE id % 3 <> 0), b AS (SELECT *, 0 AS late FROM o UNION ALL SELECT *, 1 FROM n),
+k AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY visitor_key, visit_day ORDER BY late, visited_at, id) = 1)
+SELECT id, visitor_key, CAST(visit_day AS VARCHAR) AS visit_day FROM k WHERE visited_at >= (SELECT max(visited_at) FROM v) - INTERVAL 10 DAYS""")
+def visits_recorded(spark, sf_dir):
+    rows = _visits(spark, sf_dir)
+    old, new = visits.first_per_day(rows.where("id % 3 = 0")), rows.where("id % 3 <> 0")
+    kept = visits.recorded(old, new, F.lit(_latest(spark, sf_dir)))
+    return visits.retained(kept, F.lit(_latest(spark, sf_dir)), 10).select("id", "visitor_key", F.col("visit_day").cast("string"))
+
+
+@query("""SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, nullif(left(trim(event_type), 120), '') AS place FROM events""")
+def json_props_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.get_json_object("props", "$.k").try_cast("bigint").alias("k"), text.clean_location(F.col("event_type")).alias("place"))
+
+
+# --- editions, runs and state ---------------------------------------------------------------
+
+NEWEST = "ORDER BY o_orderdate DESC, o_orderkey DESC"
+
+
+def _orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("published_at"), F.to_date("o_orderdate").alias("issue_date"), F.col("o_custkey").alias("cust"))
+
+
+def _by():
+    return [F.col("published_at").desc(), F.col("id").desc()]
+
+
+@query(f"SELECT o_orderkey AS id, o_orderdate AS published_at FROM orders {NEWEST} LIMIT 1")
+def latest_edition(spark, sf_dir):
+    return store.newest(_orders(spark, sf_dir).select("id", "published_at"), _by(), 1)
+
+
+@query(f"SELECT o_orderkey AS id, o_orderdate AS published_at FROM orders {NEWEST} LIMIT 15")
+def latest_15(spark, sf_dir):
+    return store.newest(_orders(spark, sf_dir).select("id", "published_at"), _by())
+
+
+@query(f"SELECT o_orderkey AS id, o_orderdate AS published_at FROM orders {NEWEST} OFFSET 15")
+def retention_drop_set(spark, sf_dir):
+    return store.beyond_newest(_orders(spark, sf_dir).select("id", "published_at"), _by())
+
+
+@query("SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS issue_date FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1996-01-02'")
+def edition_by_date(spark, sf_dir):
+    return _orders(spark, sf_dir).where("issue_date = DATE '1996-01-02'").select("id", F.col("issue_date").cast("string"))
+
+
+@query("SELECT count(*) > 0 AS found FROM orders WHERE o_orderkey = 7 OR CAST(o_orderdate AS DATE) = DATE '1890-01-01'")
+def published_exists_or(spark, sf_dir):
+    return store.exists_either(_orders(spark, sf_dir), [F.col("id") == 7, F.expr("issue_date = DATE '1890-01-01'")])
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS id, o_orderdate AS published_at, o_custkey AS cust FROM orders), a AS (SELECT * FROM o WHERE id % 2 = 0),
+b AS (SELECT * FROM o WHERE id % 2 = 1 AND cust NOT IN (SELECT cust FROM a) QUALIFY row_number() OVER (PARTITION BY cust ORDER BY published_at DESC, id DESC) = 1)
+SELECT id, published_at, cust FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY published_at DESC, id DESC LIMIT 15""")
+def insert_or_ignore(spark, sf_dir):
+    rows = _orders(spark, sf_dir).select("id", "published_at", "cust")
+    return store.insert_or_ignore(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), ["cust"], _by())
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_type = 'click' THEN value END AS failure_detail, ts AS started_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 1""")
+def run_latest_status(spark, sf_dir):
+    runs = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("started_at"), F.when(F.col("event_type") == "click", "VALIDATION_FAILED").alias("error_code"), F.col("value").alias("error_message"))
+    return store.latest_run_status(runs).select("id", "failure_detail", "started_at")
+
+
+@query("""WITH h AS (SELECT user_id AS report, CASE WHEN value < 20 THEN 'failed' WHEN value < 60 THEN 'degraded' ELSE 'healthy' END AS status FROM events)
+SELECT report, CASE WHEN bool_and(status = 'failed') THEN 'failed' WHEN bool_or(status <> 'healthy') THEN 'degraded' ELSE 'healthy' END AS status FROM h GROUP BY report""")
+def run_status_rollup(spark, sf_dir):
+    status = F.when(F.col("value") < 20, "failed").when(F.col("value") < 60, "degraded").otherwise("healthy")
+    return selection.source_status(table(spark, sf_dir, "events").select(F.col("user_id").alias("report"), status.alias("status")), "report")
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 'VALIDATION_FAILED' WHEN event_type = 'view' THEN 'MODEL_JSON_INVALID'
+  WHEN regexp_matches(props || ' ' || event_id, '3007|3046|request timeout|timed out') THEN 'MODEL_TIMEOUT' ELSE 'GENERATION_FAILED' END AS code FROM events""")
+def error_classification(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "ValidationError").when(F.col("event_type") == "view", "SyntaxError").otherwise("Error")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), store.error_code(kind, F.concat_ws(" ", "props", "event_id")).alias("code"))
+
+
+# --- URLs and pages -------------------------------------------------------------------------
+
+_U = r"'(?is)^(https?)://([^/?#]+)([^?#]*)(?:\?([^#]*))?(?:#.*)?$'"
+
+
+def _url_sql(column: str, strip: bool) -> str:
+    path = f"regexp_extract({column}, {_U}, 3)"
+    stripped = f"CASE WHEN {path} IN ('', '/') THEN '/' ELSE coalesce(nullif(rtrim({path}, '/'), ''), '/') END" if strip else f"CASE WHEN {path} = '' THEN '/' ELSE {path} END"
+    kept = f"array_to_string([p FOR p IN string_split(regexp_extract({column}, {_U}, 4), '&') IF p <> '' AND NOT regexp_matches(p, '(?i)^(?:utm_[^=]+|fbclid|gclid|ref|source|campaign|medium)(?:=|$)')], '&')"
+    return f"'https://' || lower(regexp_extract({column}, {_U}, 2)) || {stripped} || CASE WHEN {kept} <> '' THEN '?' || {kept} ELSE '' END"
+
+
+@query(f"SELECT page_id, CASE WHEN lower(regexp_extract(url, {_U}, 1)) = 'https' THEN {_url_sql('url', True)} END AS canonical FROM pages")
+def url_canonical(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query(f"SELECT page_id, CASE WHEN regexp_matches(url, {_U}) THEN {_url_sql('url', False)} END AS repaired FROM pages")
+def url_repaired(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.repaired_url(F.concat(F.lit(" (<"), "url", F.lit(">)."))).alias("repaired"))
+
+
+@query(f"""WITH f AS (SELECT page_id, 0 AS form, url FROM pages UNION ALL SELECT page_id, 1, {_url_sql('url', False)} FROM pages)
+SELECT page_id, form, url FROM f QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, form) = 1""")
+def url_catalog(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.lit(1).alias("issue"), F.col("page_id").alias("place"), F.lit("x").alias("label"), "url")
+    return dedup.permitted_catalog(rows, "issue").select(F.col("place").alias("page_id"), "form", "url")
+
+
+@query(f"""SELECT page_id, CASE WHEN coalesce(h, '') = '' THEN -1 WHEN page_id % 10 = 0 THEN 4 WHEN h IN ('alphasignal.ai', 'news.smol.ai', 'tldr.tech', 'www.alphasignal.ai', 'www.tldr.tech') THEN 0
+  WHEN h IN ('x.com', 'twitter.com') OR h LIKE '%reddit.com' THEN 1 ELSE 2 END AS authority FROM (SELECT page_id, lower(regexp_extract(url, {_U}, 2)) AS h FROM pages)""")
+def url_authority(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.url_authority(F.col("url"), F.col("page_id") % 10 == 0).alias("authority"))
+
+
+@query(r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1)) AS title, trim(regexp_extract(html, '(?is)<h1(?:\s[^>]*)?>(.*?)</h1>', 1)) AS h1,
+  len(regexp_extract_all(html, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1)) AS paragraphs FROM pages""")
+def html_title_h1(spark, sf_dir):
+    page = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", text.element(page, "title").alias("title"), text.element(page, "h1").alias("h1"), F.size(text.elements(page, "p")).cast("long").alias("paragraphs"))
+
+
+@query(r"""SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*href\s*=\s*["'']([^"'']+)["''][^>]*>', 1)) AS href FROM pages) GROUP BY ALL""")
+def html_links(spark, sf_dir):
+    found = F.regexp_extract_all("html", F.lit(r"""(?is)<a(?![A-Za-z0-9_])[^>]*href\s*=\s*["']([^"']+)["'][^>]*>"""), F.lit(1))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+q AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM p)
+SELECT page_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS plain FROM q""")
+def html_plain_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.plain_text(F.col("html")).alias("plain"))
+
+
+# --- texts ----------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(text) AS body_sha256 FROM documents")
+def body_sha256(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("body_sha256"))
+
+
+@query("SELECT sha256(text) AS body_sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY ALL HAVING count(*) > 1")
+def doc_exact_dups(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("body_sha256")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+
+
+SENTENCE = r"trim(regexp_replace(text, '(?s)[.!?](?:\s.*|$)', ''))"
+LEAD = r"regexp_replace(array_to_string(string_split_regex({x}, '\s+')[1:{n}], ' '), '[,:;]+$', '')"
+
+
+@query(f"SELECT doc_id, {SENTENCE} AS lead FROM documents")
+def lead_sentence(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.first_sentence(F.col("text")).alias("lead"))
+
+
+@query(rf"""WITH c AS (SELECT doc_id, text, regexp_extract(text, '^([^\n\r]{{6,140}}?):\s+', 1) AS colon FROM documents),
+l AS (SELECT doc_id, coalesce(nullif(CASE WHEN colon <> '' THEN trim(colon) ELSE {SENTENCE} END, ''), 'none') AS l FROM c)
+SELECT doc_id, {LEAD.format(x='l', n=12)} AS lead FROM l""")
+def concise_lead(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.concise_lead(F.col("text"), F.lit("none")).alias("lead"))
+
+
+STOPS = "[" + ", ".join(f"'{w}'" for w in fixed.STOP_WORDS) + "]"
+TOKENS = rf"list_distinct([w FOR w IN string_split(regexp_replace(lower({{x}}), '[^\p{{{{L}}}}\p{{{{N}}}}]+', ' ', 'g'), ' ') IF length(w) > 1 AND NOT list_contains({STOPS}, w)])".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"SELECT doc_id, len({TOKENS.replace('{x}', SENTENCE)}) AS tokens FROM documents")
+def token_set_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.token_set(text.first_sentence(F.col("text")))).cast("long").alias("tokens"))
+
+
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS normal FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')""")
+def normalized_texts(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"(?s)^[\x00-\x7F]*$"))
+    return rows.select("doc_id", F.md5(text.normalized(F.col("text")).cast("binary")).alias("normal"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9.]+', ' ', 'g')), ' ') AS t FROM documents WHERE regexp_matches(text, '^[\x00-\x7F]*$')),
+p AS (SELECT doc_id, t, list_position([regexp_matches(w, '[0-9]') FOR w IN t], true) AS i FROM t)
+SELECT doc_id, CASE WHEN i > 0 THEN array_to_string(t[greatest(i - 1, 1):i], ':') END AS product FROM p""")
+def product_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"(?s)^[\x00-\x7F]*$"))
+    return rows.select("doc_id", text.product_key(F.col("text")).alias("product"))
+
+
+@query(r"""SELECT doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 900) AS compact, rtrim(translate(base64(encode(left(text, 40))), '+/', '-_'), '=') AS packed FROM documents""")
+def compact_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.compact_text(F.col("text")).alias("compact"), text.base64url(F.left("text", F.lit(40))).alias("packed"))
+
+
+# --- scoring --------------------------------------------------------------------------------
+
+
+def _count_sql(x: str, p: str) -> str:
+    return f"len(regexp_extract_all({x}, '(?i){p}'))"
+
+
+SCORE = "(" + " + ".join(f"{_count_sql('{x}', TERMS[w['id']])} * {(w['value'] - 2) * 4}" for w in PROFILE["weights"] if w["id"] in TERMS) + f" - {_count_sql('{x}', 'license')} * 6)"
+OPTIONS = [f"CASE WHEN {_count_sql('{x}', TERMS[c])} > 0 THEN {{'s': {_count_sql('{x}', TERMS[c])} * 10 + {w['value'] * 3 + 3 * (w['label'] in PROFILE['pinnedCategories'])}, 'p': {-k}, 'id': '{c}'}} END" for k, c in enumerate(PRIORITY) for w in PROFILE["weights"] if w["id"] == c]
+CATEGORY = "coalesce(list_max([" + ", ".join(OPTIONS) + "]).id, 'newly')"
+
+
+def _score(column, links):
+    return scoring.block_score(column, links, PROFILE, TERMS, {}, TERMS["flag"])
+
+
+@query(f"SELECT doc_id, (2 + {SCORE.replace('{x}', 'text')})::BIGINT AS score FROM documents")
+def term_score(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", _score(F.col("text"), F.lit(1)).alias("score"))
+
+
+@query(f"SELECT doc_id, {CATEGORY.replace('{x}', 'text')} AS category FROM documents")
+def category_argmax(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", scoring.category(F.col("text"), PROFILE, TERMS, PRIORITY)["id"].alias("category"))
+
+
+@query("SELECT doc_id, text FROM documents WHERE NOT regexp_matches(text, '(?i)license')")
+def deprioritized_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(~scoring.has(F.col("text"), TERMS["flag"])).select("doc_id", "text")
+
+
+# --- inventory over document lines ----------------------------------------------------------
+
+LINES = r"""ln AS (SELECT doc_id, trim(u.l) AS line, u.i - 1 AS line_no FROM (SELECT doc_id, unnest([{'l': x, 'i': i} FOR x, i IN string_split(text, chr(10))]) AS u FROM documents)),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS place FROM ln WHERE line <> '')"""
+IS_BLOCK = "length(line) > 60"
+HEADED = f"""h AS (SELECT *, last_value(CASE WHEN NOT ({IS_BLOCK}) THEN left(trim(regexp_replace(line, '\\s+', ' ', 'g')), 900) END IGNORE NULLS)
+  OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS heading FROM l)"""
+CHOSEN = f"""b AS (SELECT doc_id, place, ({SCORE.replace('{x}', 'line')})::BIGINT AS score FROM h WHERE {IS_BLOCK}),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) <= 15 AS is_first FROM b),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, is_first ORDER BY place) - 1 AS nth, count(*) OVER (PARTITION BY doc_id, is_first) AS n,
+  count(*) FILTER (is_first) OVER (PARTITION BY doc_id) AS firsts FROM r),
+s AS (SELECT *, least(18 - firsts, n) AS slots FROM k),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS candidate_id FROM s
+  WHERE is_first OR list_contains([floor((x + 0.5) * n / slots)::BIGINT FOR x IN range(0, slots)], nth))"""
+
+
+def _blocks(spark, sf_dir):
+    lines = inventory.numbered_lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+    is_block = F.length("line") > 60
+    return inventory.with_headings(lines, "doc_id", is_block), is_block
+
+
+@query(f"WITH {LINES}, {HEADED} SELECT doc_id, place, heading FROM h")
+def heading_carry_forward(spark, sf_dir):
+    return _blocks(spark, sf_dir)[0].select("doc_id", F.col("place").cast("long").alias("place"), "heading")
+
+
+@query(f"WITH {LINES}, {HEADED}, {CHOSEN} SELECT doc_id, place, score, candidate_id, is_first FROM c")
+def block_selection(spark, sf_dir):
+    rows, is_block = _blocks(spark, sf_dir)
+    scored = rows.where(is_block).withColumn("score", _score(F.col("line"), F.lit(0)))
+    return inventory.select_blocks(scored, "doc_id").select("doc_id", F.col("place").cast("long").alias("place"), "score", F.col("candidate_id").cast("long").alias("candidate_id"), "is_first")
+
+
+@query(f"""WITH {LINES}, {HEADED}, {CHOSEN} SELECT doc_id, candidate_id, base, least(base, 80) >= 80 AS hot FROM (SELECT doc_id, candidate_id, greatest(48, 100 - 4 * (candidate_id - 1))::INT AS base FROM c WHERE candidate_id <= 14)""")
+def positional_base(spark, sf_dir):
+    rows = QUERIES["block_selection"](spark, sf_dir).where("candidate_id <= 14")
+    base = scoring.positional_base((F.col("candidate_id") - 1).cast("int"))
+    return rows.select("doc_id", "candidate_id", base.alias("base"), (base >= 80).alias("hot"))
+
+
+# --- ranking --------------------------------------------------------------------------------
+
+WEIGHTS = {"ECONOMY": ("Economy", 4), "PROMO": ("Promo", 3), "STANDARD": ("Standard", 1), "LARGE": ("Large", 0)}
+ITEM_PROFILE = PROFILE | {"weights": [{"id": k, "label": v[0], "value": v[1]} for k, v in WEIGHTS.items()], "pinnedCategories": ["Promo"]}
+ITEMS = "i AS (SELECT p_partkey AS pos, p_brand AS edition, split_part(p_type, ' ', 1) AS category, p_name AS title, p_size AS base, p_partkey % 11 = 0 AS exceptional, p_partkey % 7 = 0 AS watch_geography FROM part)"
+WEIGHT_SQL = "w AS (" + " UNION ALL ".join(f"SELECT '{k}' AS category, '{v[0]}' AS label, {v[1]} AS weight, {v[0] == 'Promo'} AS pinned" for k, v in WEIGHTS.items()) + ")"
+TONE = "CASE WHEN weight >= 3 THEN 'priority' WHEN weight <= 1 THEN 'background' ELSE 'balanced' END"
+WLABEL = "CASE weight WHEN 0 THEN 'Demote' WHEN 1 THEN 'Background' WHEN 2 THEN 'Balanced' WHEN 3 THEN 'Prioritize' WHEN 4 THEN 'Lead' END"
+
+
+def _items(spark, sf_dir):
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        key.alias("pos"), F.col("p_brand").alias("edition"), F.split("p_type", " ")[0].alias("category"), F.col("p_name").alias("title"), F.lit(None).cast("string").alias("summary"),
+        F.col("p_size").alias("base"), (key % 11 == 0).alias("exceptional"), F.lit(False).alias("watch_permission"), (key % 7 == 0).alias("watch_geography"),
+    )
+
+
+@query(f"""WITH {ITEMS}, {WEIGHT_SQL}, s AS (SELECT edition, pos, (base + coalesce(weight, 0) * 10 + CASE WHEN exceptional THEN 45 ELSE 0 END + CASE WHEN watch_geography THEN 20 ELSE 0 END)::BIGINT AS score FROM i LEFT JOIN w USING (category))
+SELECT edition, pos, score, row_number() OVER (PARTITION BY edition ORDER BY score DESC, pos)::INT AS rank FROM s""")
+def personalised_rank(spark, sf_dir):
+    return ranking.ranked(_items(spark, sf_dir), ITEM_PROFILE, "edition", "pos").select("edition", "pos", "score", "rank")
+
+
+@query(f"""WITH {ITEMS}, {WEIGHT_SQL}, s AS (SELECT edition, pos, (base + coalesce(weight, 0) * 10 + CASE WHEN exceptional THEN 45 ELSE 0 END + CASE WHEN watch_geography THEN 20 ELSE 0 END)::BIGINT AS score FROM i LEFT JOIN w USING (category))
+SELECT edition, pos, score FROM s QUALIFY row_number() OVER (PARTITION BY edition ORDER BY score DESC, pos) <= 7""")
+def visible_signals(spark, sf_dir):
+    return ranking.ranked(_items(spark, sf_dir), ITEM_PROFILE, "edition", "pos").where(F.col("rank") <= PROFILE["storyBudget"]).select("edition", "pos", "score")
+
+
+@query(f"""WITH {ITEMS}, {WEIGHT_SQL} SELECT pos, CASE WHEN exceptional THEN 'Exceptional signal' WHEN watch_geography THEN 'Watching · AI cluster geography' WHEN weight IS NULL THEN NULL
+  WHEN pinned THEN 'Pinned · ' || label ELSE label || ' · ' || {WLABEL} END AS label,
+  CASE WHEN exceptional THEN 'exceptional' WHEN watch_geography THEN 'watched' WHEN weight IS NULL THEN NULL WHEN pinned THEN 'pinned' ELSE {TONE} END AS tone FROM i LEFT JOIN w USING (category)""")
+def ranking_reason(spark, sf_dir):
+    return ranking.explained(_items(spark, sf_dir), ITEM_PROFILE).select("pos", F.col("reason.label").alias("label"), F.col("reason.tone").alias("tone"))
+
+
+@query(f"""WITH {ITEMS}, {WEIGHT_SQL} SELECT pos, array_to_string([x FOR x IN [CASE WHEN exceptional THEN 'Editorial override=Applied' END, CASE WHEN watch_geography THEN 'Watched topic=Applied' END,
+  CASE WHEN weight IS NOT NULL THEN 'Category=' || {WLABEL} END, CASE WHEN pinned THEN 'Editorial marker=Label only' END,
+  'Editorial strength=' || CASE WHEN base >= 80 THEN 'Strong editorial signal' WHEN base >= 60 THEN 'Useful editorial signal' ELSE 'Supporting context' END] IF x IS NOT NULL], '; ') AS factors FROM i LEFT JOIN w USING (category)""")
+def ranking_explanation(spark, sf_dir):
+    part = lambda f: F.concat(f["label"], F.lit("="), F.when(f["label"] == "Editorial strength", f["value"]).otherwise(f["state"]))
+    return ranking.explained(_items(spark, sf_dir), ITEM_PROFILE).select("pos", F.array_join(F.transform("factors", part), "; ").alias("factors"))
+
+
+@query(f"WITH {ITEMS}, {WEIGHT_SQL} SELECT category, weight::INT AS value FROM w WHERE category IN (SELECT category FROM i) ORDER BY weight DESC, category LIMIT 4")
+def ranking_drivers(spark, sf_dir):
+    weights = ranking.weight_rows(spark, ITEM_PROFILE).select("category", F.col("weight").alias("value"), F.col("category").alias("place"))
+    return ranking.ranking_drivers(weights, _items(spark, sf_dir)).select("category", "value")
+
+
+@query("""WITH w AS (SELECT c_custkey AS viewer, x.category, x.value FROM customer, (VALUES ('alpha', 4), ('beta', 3), ('gamma', 1)) x(category, value)),
+o AS (SELECT c_custkey AS viewer, 'beta' AS category, (c_custkey % 5)::INT AS own FROM customer WHERE c_nationkey % 3 = 0)
+SELECT viewer, category, coalesce(own, value)::INT AS value FROM w LEFT JOIN o USING (viewer, category)""")
+def profile_override_merge(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("viewer"), "c_nationkey")
+    base = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(v).alias("value")) for c, v in (("alpha", 4), ("beta", 3), ("gamma", 1))))
+    weights = people.select("viewer", F.inline(base))
+    own = people.where("c_nationkey % 3 = 0").select("viewer", F.lit("beta").alias("category"), (F.col("viewer") % 5).cast("int").alias("value"))
+    return ranking.merged_weights(weights, own)
+
+
+# --- matching, de-duplication and quotas ----------------------------------------------------
+
+TITLES = f"t AS (SELECT doc_id AS id, {LEAD.format(x=SENTENCE, n=12)} AS title FROM documents)"
+TOKENED = f"k AS (SELECT id, title, {TOKENS.replace('{x}', 'title')} AS tokens FROM t)"
+SIMILAR = """x AS (SELECT id, unnest(tokens) AS token FROM k WHERE len(tokens) >= 3),
+c AS (SELECT a.id AS left_id, b.id AS right_id, count(*) AS n FROM x a JOIN x b USING (token) WHERE {on} GROUP BY ALL),
+y AS (SELECT left_id, right_id, greatest(n / (len(l.tokens) + len(r.tokens) - n), n / least(len(l.tokens), len(r.tokens)) * 0.9::DOUBLE) AS similarity FROM c JOIN k l ON l.id = left_id JOIN k r ON r.id = right_id)"""
+
+
+def _titles(spark, sf_dir):
+    lead = text.first_sentence(F.col("text"))
+    title = F.regexp_replace(F.array_join(F.slice(text.words(lead), 1, 12), " "), "[,:;]+$", "")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), title.alias("title"))
+
+
+@query(f"WITH {TITLES}, {TOKENED}, {SIMILAR.format(on='a.id < b.id')} SELECT left_id, right_id, round(similarity, 9) AS similarity FROM y WHERE similarity >= 0.62")
+def near_dup_pairs(spark, sf_dir):
+    rows = _titles(spark, sf_dir).select("id", text.token_set(F.col("title")).alias("tokens"))
+    # equal titles are one set: sets are compared once, then every pair of their stories is named
+    sets = rows.groupBy("tokens").agg(F.min("id").alias("id"))
+    members = rows.join(sets.withColumnRenamed("id", "set_id"), "tokens").select("id", "set_id")
+    found = dedup.similar_pairs(sets, sets)
+    pairs = found.join(members.select(F.col("set_id").alias("left_id"), F.col("id").alias("a")), "left_id").join(members.select(F.col("set_id").alias("right_id"), F.col("id").alias("b")), "right_id")
+    return pairs.where("a < b").select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.round("similarity", 9).alias("similarity"))
+
+
+@query(f"""WITH {TITLES}, {TOKENED}, {SIMILAR.format(on='a.id % 10 = 0 AND b.id % 10 = 5')}, m AS (SELECT left_id AS id, min(right_id) AS base_id FROM y WHERE similarity >= 0.62 GROUP BY left_id)
+SELECT id, base_id FROM t LEFT JOIN m USING (id) WHERE id % 10 = 0""")
+def overlap_and_novel(spark, sf_dir):
+    rows = _titles(spark, sf_dir).withColumn("url", F.lit(None).cast("string"))
+    keys = F.regexp_replace("title", "[0-9]", "")
+    rows = rows.withColumn("title", keys)
+    overlaps, novel = dedup.first_matches(rows.where("id % 10 = 0"), rows.where("id % 10 = 5"))
+    return overlaps.select("id", "base_id").unionByName(novel.select("id", F.lit(None).cast("long").alias("base_id")))
+
+
+GROUPS = "g AS (SELECT doc_id, doc_id // 16 AS issue_id, row_number() OVER (PARTITION BY doc_id // 16 ORDER BY doc_id) AS n, source AS a, left(text, 12) AS b, lang || length(text) AS c FROM documents)"
+
+
+@query(f"""WITH RECURSIVE {GROUPS}, z AS (SELECT issue_id, 0::BIGINT AS n, []::VARCHAR[] AS sa, []::VARCHAR[] AS sb, []::VARCHAR[] AS sc, []::BIGINT[] AS kept FROM g GROUP BY issue_id
+UNION ALL SELECT g.issue_id, g.n, CASE WHEN ok THEN list_append(sa, a) ELSE sa END, CASE WHEN ok THEN list_append(sb, b) ELSE sb END, CASE WHEN ok THEN list_append(sc, c) ELSE sc END, CASE WHEN ok THEN list_append(kept, doc_id) ELSE kept END
+FROM (SELECT z.*, g.doc_id, g.a, g.b, g.c, g.n AS gn, NOT (list_contains(sa, a) OR list_contains(sb, b) OR list_contains(sc, c)) AS ok FROM z JOIN g ON g.issue_id = z.issue_id AND g.n = z.n + 1) y JOIN g ON g.doc_id = y.doc_id)
+SELECT issue_id, unnest(kept) AS doc_id FROM (SELECT issue_id, kept FROM z QUALIFY row_number() OVER (PARTITION BY issue_id ORDER BY n DESC) = 1)""".replace("FROM (SELECT z.*, g.doc_id, g.a, g.b, g.c, g.n AS gn,", "FROM (SELECT z.sa, z.sb, z.sc, z.kept, g.doc_id AS doc_id,").replace("y JOIN g ON g.doc_id = y.doc_id)", "y JOIN g USING (doc_id))"))
+def greedy_distinct(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 16).cast("long").alias("issue_id"), "doc_id", F.col("source").alias("a"), F.left("text", F.lit(12)).alias("b"), F.concat("lang", F.length("text")).alias("c"))
+    return dedup.first_of_any_key(rows, "issue_id", "doc_id", ["a", "b", "c"]).select("issue_id", "doc_id")
+
+
+@query()
+def signal_dedup(spark, sf_dir):
+    """Stories of 16 documents each; SQL has no fold with a map, so tests hold it against a plain model."""
+    docs = table(spark, sf_dir, "documents")
+    keys = dedup.story_keys(F.lit(None).cast("int"), F.col("source"), text.first_sentence(F.col("text")), F.left("text", F.lit(300)))
+    rows = docs.select(F.floor(F.col("doc_id") / 16).cast("long").alias("issue_id"), "doc_id", (F.col("n_chars") % 101).alias("base"), keys.alias("keys"))
+    return dedup.best_of_story(rows, "issue_id", "doc_id").select("issue_id", "doc_id", "base")
+
+
+@query("""WITH r AS (SELECT doc_id, source, n_chars AS score FROM documents WHERE source IN ('src1', 'src2', 'src3'))
+SELECT doc_id, source, score FROM r QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) <= CASE source WHEN 'src1' THEN 3 WHEN 'src2' THEN 2 ELSE 1 END ORDER BY score DESC, doc_id LIMIT 6""")
+def quota_select(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("n_chars").alias("score")).where(F.col("source").isin("src1", "src2", "src3"))
+    return selection.quota_by_source(rows, {"src1": 3, "src2": 2, "src3": 1}, [F.col("score").desc(), F.col("doc_id")], 6)
+
+
+@query()
+def greedy_quota(spark, sf_dir):
+    """Six of each 64 documents under quotas with two sources each; tests hold it against a plain model."""
+    docs = table(spark, sf_dir, "documents")
+    sources = F.array(F.element_at(F.array(*map(F.lit, fixed.SOURCE_CAPS)), (F.col("doc_id") % 3 + 1).cast("int")), F.element_at(F.array(*map(F.lit, fixed.SOURCE_CAPS)), (F.col("n_chars") % 3 + 1).cast("int")))
+    rows = docs.select(F.floor(F.col("doc_id") / 64).cast("long").alias("report_id"), "doc_id", (F.col("n_chars") % 50).alias("score"), F.col("doc_id").alias("published_at"), sources.alias("sources"))
+    return selection.greedy_quota(rows, "report_id", fixed.SOURCE_CAPS).select("report_id", "doc_id", "counted_for")
+
+
+@query("""SELECT source, list_sort(list_distinct(list(lang))) AS langs, max(n_chars) AS score FROM documents GROUP BY source""".replace("list_sort(list_distinct(list(lang)))", "array_to_string(list_sort(list_distinct(list(lang))), ',')"))
+def attribution_union(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.max("n_chars").alias("score"))
+
+
+# --- checks ---------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def referential_integrity(spark, sf_dir):
+    return validate.not_permitted(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("SELECT split_part(url, '/', 3) AS host, count(*) - count(DISTINCT url) AS repeated FROM pages GROUP BY ALL")
+def unique_url_check(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(F.split("url", "/")[2].alias("host")).agg((F.count("*") - F.count_distinct("url")).alias("repeated"))
+
+
+@query("SELECT p_partkey, count(*) OVER (PARTITION BY p_brand, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g'))) AS title_count FROM part")
+def repeated_titles(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
+    return dedup.repeated_titles(rows, "p_brand", "p_name").select("p_partkey", "title_count")
+
+
+_WORDS = "[w FOR w IN string_split({x}, ' ') IF length(w) > 2 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in fixed.SYNTHESIS_STOP_WORDS) + "], w)]"
+
+
+@query(rf"""WITH s AS (SELECT conv_id, turn AS pos, trim(regexp_replace(lower({SENTENCE}), '[^a-z0-9]+', ' ', 'g')) AS t FROM conversations WHERE regexp_matches(text, '^[\x00-\x7F]*$')),
+k AS (SELECT *, list_distinct({_WORDS.format(x='t')}) AS w FROM s)
+SELECT l.conv_id, l.pos AS left_pos, r.pos AS right_pos FROM k l JOIN k r ON l.conv_id = r.conv_id AND l.pos < r.pos
+WHERE l.t = r.t OR (least(len(l.w), len(r.w)) >= 8 AND len(list_intersect(l.w, r.w)) / least(len(l.w), len(r.w)) >= 0.86)""")
+def section_repeats(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"(?s)^[\x00-\x7F]*$"))
+    sections = rows.select("conv_id", F.col("turn").alias("pos"), F.concat(F.lit("t"), "turn").alias("title"), F.concat(F.lit("k"), "turn").alias("kicker"), F.col("text").alias("body"), F.array(F.struct(F.concat(F.lit("u"), "turn").alias("url"))).alias("sources"))
+    return validate.section_repeats(sections, "conv_id").where("rule = 'body'").select("conv_id", "left_pos", "right_pos")
+
+
+@query(r"""SELECT page_id, url NOT LIKE 'https://%' AS bad_url, trim(regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1)) = '' AS bad_title FROM pages""")
+def page_rules(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", ~urls.is_https(F.col("url")), ~text.is_plain(text.element(F.col("html"), "title"))).toDF("page_id", "bad_url", "bad_title")
+
+
+@query("""SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt, count(*) AS turns FROM conversations GROUP BY conv_id""")
+def model_input(spark, sf_dir):
+    parts = F.sort_array(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("t"))))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n").alias("prompt"), F.count("*").alias("turns"))
+
+
+@query("""SELECT page_id, row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) AS n FROM pages QUALIFY n <= 5""")
+def top_enrichment(spark, sf_dir):
+    rank = F.row_number().over(Window.partitionBy(F.split("url", "/")[2]).orderBy("page_id"))
+    return table(spark, sf_dir, "pages").select("page_id", rank.cast("long").alias("n")).where("n <= 5")
