@@ -1,0 +1,130 @@
+"""Text and URL functions on hand-made rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom.functions import fixed, model_json, text, urls
+from newsloom.operators import scoring
+
+
+def value(spark, column, **columns):
+    kinds = ", ".join(f"{k} string" for k in columns)
+    return spark.createDataFrame([tuple(columns.values())], kinds).select(column.alias("x")).first().x
+
+
+def of(spark, function, given):
+    return value(spark, function(F.col("t")), t=given)
+
+
+@pytest.mark.parametrize("given, made", [
+    ("Acme : New agent runtime ships today. More follows", "New agent runtime ships today"),
+    ("A long enough clause here, which goes on for a while", "A long enough clause here"),
+    ("one two three four five six seven eight nine ten eleven twelve the of fifteen", "one two three four five six seven eight nine ten eleven twelve"),
+    ("Thing shipped (Activity: 12) and so on", "Thing shipped"),
+    ("a the of", "a the of"),
+    ("", "AI update"),
+])
+def test_candidate_title(spark, given, made):
+    assert of(spark, text.candidate_title, given) == made
+
+
+def test_candidate_summary(spark):
+    assert of(spark, text.candidate_summary, " ".join(["w"] * 50)) == " ".join(["w"] * 45) + "…"
+    assert of(spark, text.candidate_summary, "") == "AI update"
+
+
+def test_concise_lead(spark):
+    assert value(spark, text.concise_lead(F.col("t"), F.col("f")), t="Acme Corp: ships a tool. Later.", f="x") == "Acme Corp"
+    assert value(spark, text.concise_lead(F.col("t"), F.col("f")), t="Ships a tool. Later.", f="x") == "Ships a tool"
+    assert value(spark, text.concise_lead(F.col("t"), F.col("f")), t=". x", f="fallback") == "fallback"
+
+
+def test_normalized_takes_marks_apart(spark):
+    assert of(spark, text.normalized, "  Café—Été 2! ") == "cafe e te 2"
+    assert of(spark, text.normalized, "日本") == ""
+
+
+def test_entities(spark):
+    assert of(spark, text.decode_entities, "&AMP;&#x41;&#66;&nbsp;&lt;") == "&AB <"
+    assert of(spark, text.decode_entities_once, "&AMP;&amp;lt;&nbsp;") == "&AMP;&lt;&nbsp;"
+    assert of(spark, text.decode_entities, None) is None
+
+
+def test_plain_text(spark):
+    assert of(spark, text.plain_text, "<p>a<script>x()</script> b&amp;c</p> <style>q</style>d") == "a b&c d"
+
+
+def test_product_keys(spark):
+    assert of(spark, text.product_key, "Top 10 tools") == "top:10"
+    assert of(spark, text.product_key, "No version") is None
+    assert of(spark, text.product_key_strict, "Top 10 tools") is None
+    assert of(spark, text.product_key_strict, "Model v2.1 is out") == "model:v2.1"
+    assert of(spark, text.product_key_strict, "gpt5 is out") == "gpt5"
+
+
+def test_anchors_to_markdown():
+    body, links = text.anchors_to_markdown('<p>See <a href="https://a.io/x?y=1&amp;z=2"><b>It</b></a> and <a href="http://b.io">that</a></p>')
+    assert links == [("It", "https://a.io/x?y=1&z=2")]
+    assert "[It](https://a.io/x?y=1&z=2)" in body and "that" in body and "http://b.io" not in body
+    assert text.anchors_to_markdown("&lt;a href='https://a.io'&gt;x&lt;/a&gt;")[1] == [("x", "https://a.io")]
+
+
+def test_base64url_round_trip(spark):
+    made = of(spark, text.base64url, '{"é":1}??')
+    assert "=" not in made and "+" not in made and "/" not in made
+    assert of(spark, text.from_base64url, made) == '{"é":1}??'
+
+
+@pytest.mark.parametrize("given, made", [
+    ("https://EX.com/a/b//?utm_source=x&k=1&ref=2#f", "https://ex.com/a/b?k=1"),
+    ("https://ex.com", "https://ex.com/"),
+    ("http://ex.com/a", None),
+    ("nothing", None),
+    (None, None),
+])
+def test_canonical_url(spark, given, made):
+    assert of(spark, urls.canonical_url, given) == made
+
+
+def test_repaired_url(spark):
+    assert of(spark, urls.repaired_url, "(http://ex.com/a/).") == "https://ex.com/a/"
+    assert of(spark, urls.repaired_url, "//ex.com/a?gclid=1") == "https://ex.com/a"
+
+
+def test_resolved_url():
+    assert urls.resolve("/a/?utm_x=1", "https://ex.com/q") == "https://ex.com/a"
+    assert urls.resolve("mailto:a@b.c", "https://ex.com") is None
+
+
+def test_authority_and_display(spark):
+    primary = F.lit(False)
+    assert [value(spark, urls.url_authority(F.col("t"), primary), t=u) for u in ("https://tldr.tech/a", "https://old.reddit.com/a", "https://x.io", "bad")] == [0, 1, 2, -1]
+    assert value(spark, urls.display_source(F.lit("L"), F.col("t")), t="https://www.x.com/me/status/1") == "@me"
+    assert value(spark, urls.display_source(F.lit("L"), F.col("t")), t="https://x.com/i/1") == "L"
+
+
+def test_patterns_use_ascii_boundaries(spark):
+    assert value(spark, scoring.count_matches(F.col("t"), fixed.CATEGORY_TERMS["agents"]).cast("int"), t="éagent agents xagentic") == 2
+    assert not value(spark, scoring.has(F.col("t"), fixed.GEOGRAPHY), t="U.S. market")
+    assert value(spark, scoring.has(F.col("t"), fixed.GEOGRAPHY), t="u.s.a")
+
+
+@pytest.mark.parametrize("given, found", [
+    ("Tool permission prompts", True), ("users must request the permission", True), ("approval workflow", True), ("approve or deny", True), ("sandboxing", True), ("no such thing", False),
+])
+def test_permission_design(spark, given, found):
+    assert of(spark, scoring.permission_design, given) is found
+
+
+def test_default_profile_category_and_score(spark):
+    kind = value(spark, scoring.category(F.col("t"), fixed.DEFAULT_PROFILE)["id"], t="codex terminal agent")
+    assert kind == "codex"
+    assert value(spark, scoring.category(F.col("t"), fixed.DEFAULT_PROFILE)["id"], t="plain") == "newly"
+    # one codex match (2 * 4), one agent match (1 * 4), a link (2), one low term (-6)
+    assert value(spark, scoring.block_score(F.col("t"), F.lit(1), fixed.DEFAULT_PROFILE), t="codex agent video") == 2 + 8 + 4 - 6
+
+
+def test_model_json(spark):
+    assert of(spark, model_json.document_text, '{"response": "```json\\n{\\"a\\": 1}\\n```"}') == '{"a": 1}'
+    assert of(spark, model_json.document_text, '{"choices": [{"message": {"content": "{\\"b\\": 2}"}}]}') == '{"b": 2}'
+    assert of(spark, model_json.document_text, "no json") is None
