@@ -241,7 +241,7 @@ def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _by_bucket(chunk, bucket: np.ndarray, packed) -> pa.Table:
     """One row for each bucket present: packed(lo, hi) of its slice."""
     head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
-    ends = np.append(head[1:], len(bucket))
+    ends = np.append(head[1:], len(bucket))[: len(head)]
     return pa.table({
         "bucket": pa.array(bucket[head], pa.int64()), "chunk": pa.array(np.full(len(head), chunk), pa.int64()),
         "blob": pa.array([packed(int(a), int(b)) for a, b in zip(head, ends, strict=True)], pa.binary()),
