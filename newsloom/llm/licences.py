@@ -64,7 +64,8 @@ def rare_words(seen: dict[str, int]) -> list[list[tuple[str, int]]]:
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` with n_words, n_base, first_word, last_word, base_labels, labels and score."""
-    tokens = docs.select(*keep, words(F.col(text_col)).alias("words"))
+    held = [f"_k{i}" for i in range(len(keep))]
+    tokens = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, held, strict=True)), words(F.col(text_col)).alias("words"))
     vocabulary = sorted({w for _, notice, _ in TEMPLATES for w in notice.split()})
     rare = rare_words(document_frequencies(tokens, vocabulary))
     every = sorted({w for found in rare for w, _ in found})
@@ -97,7 +98,7 @@ def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     text = lambda found: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))), ",")
     shares = [F.when(F.col(f"share_{k}") >= LEAST, F.col(f"share_{k}")).otherwise(0.0) for k in range(len(TEMPLATES))]
     return based.select(
-        *keep,
+        *(F.col(k).alias(c) for c, k in zip(keep, held, strict=True)),
         F.size("words").cast("long").alias("n_words"),
         F.size("base").cast("long").alias("n_base"),
         F.array_min("base").cast("long").alias("first_word"),
