@@ -26,7 +26,9 @@ def _leaves(cells: DataFrame, bits: int, limit: int) -> DataFrame:
     levels = levels.withColumn("bucket", F.expr(f"shiftright(cell, {bits} - depth)"))
     sums = levels.groupBy("depth", "bucket").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"))
     fits = sums.where((F.col("shard_bytes") <= limit) | (F.col("depth") == bits))
-    found = levels.select("cell", "depth", "bucket").join(fits, ["depth", "bucket"])
+    # buckets above the shallowest that fits hold many cells each and are no one's answer
+    shallowest = fits.agg(F.coalesce(F.min("depth"), F.lit(0))).first()[0]
+    found = levels.select("cell", "depth", "bucket").where(F.col("depth") >= shallowest).join(fits, ["depth", "bucket"])
     return found.groupBy("cell").agg(F.min(F.struct("depth", "bucket", "shard_bytes", "shard_docs")).alias("leaf"))
 
 
