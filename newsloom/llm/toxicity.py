@@ -3,7 +3,7 @@
 A linear model over the presence of words is trained from texts known to be toxic and unlabelled
 texts. The risk of the unlabelled texts as negatives, less the prior times that of the positives,
 is kept from going below zero: where it would, the step goes the other way. Words are hashed;
-those whose presence parts positives from unlabelled texts best are the features.
+those that positives hold far more often than unlabelled texts do are the features.
 Null text counts as empty; a text without features gets the score of the intercept.
 """
 
@@ -20,6 +20,8 @@ from newsloom.llm.sampling import lowest
 from newsloom.llm.words import buffers, slices, word_hashes
 
 BITS = 18
+#: Standard deviations: hundreds of thousands of words without any bearing seldom reach it.
+ABOVE = 7.0
 
 
 @dataclass
@@ -102,8 +104,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, posit
     n_p, n_u = (max(1, r or 0) for r in (chosen.where("positive").count(), chosen.where("not positive").count()))
     share_p, share_u = (p + 0.5) / (n_p + 1), (u + 0.5) / (n_u + 1)
     odds = np.log(share_p / share_u)
-    order = np.argsort(-(share_p - share_u) * odds, kind="stable")
-    order = order[(p + u)[order] >= 3][:features]
+    # how far a word's rate in positives lies above chance; few positives leave few words
+    above = (share_p - share_u) / np.sqrt(share_u * (1 - np.minimum(share_u, 0.999)) / n_p)
+    order = np.argsort(-above, kind="stable")
+    order = order[(p[order] >= 3) & (above[order] >= ABOVE)][:features]
     picked = np.sort(bins[order])
     starts = dict(zip(bins.tolist(), odds.tolist(), strict=True))
     model = Linear(picked, np.array([starts[b] for b in picked.tolist()]), 0.0)
