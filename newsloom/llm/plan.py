@@ -5,20 +5,29 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def input_bytes(frame: DataFrame) -> int:
-    """The optimizer's estimate of a frame's size: for files, their size; no job runs."""
-    return int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+#: A size that no input has: what the optimizer says when it does not know.
+UNKNOWN = 1 << 52
+
+
+def input_bytes(frame: DataFrame, text: str = "text") -> int:
+    """The size of the files a frame reads, by the optimizer's knowledge; where it has none, of its texts."""
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size < UNKNOWN:
+        return size
+    return frame.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def parts(frame: DataFrame, size: int, least: int = 1) -> int:
+def parts(frame: DataFrame, size: int, least: int = 1, text: str = "text") -> int:
     """How many parts of about ``size`` bytes the frame's input makes."""
-    return max(least, min(-(-input_bytes(frame) // size), 1 << 22))
+    return max(least, -(-input_bytes(frame, text) // size))
 
 
 def shared_folder(spark: SparkSession) -> str:
