@@ -7,8 +7,9 @@ agree in a register with the probability of their weighted Jaccard similarity. R
 banded; bags that share a band are compared exactly by multiset overlap.
 
 Equal bags are one node. In a band's group, nodes are compared with a pivot rather than with one
-another; groups that then still lie in several components take further pivots, more each round,
-until every pair in a group has been compared or is linked already, so no link is lost to a cap.
+another; groups that then still lie in several components take more pivots, in the last round all
+that are left. A pair is left out only if it is linked already, or if it can't be alike: its sizes
+are too far apart, or too little of either bag stands in any other bag at all. No link is lost to a cap.
 
 Texts of one to four words have one shingle of all their words; texts without words are one class.
 Null text counts as empty. Rows without doc_id have no class. Classes are named by their least doc_id.
@@ -22,12 +23,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.components import components
-from newsloom.llm.plan import stored
+from newsloom.llm.plan import parts, shuffle_partitions, stored
+from newsloom.llm.suffixes import _by_bucket, _in_order, _pack, _unpack, bucket_of, shared_pieces
 from newsloom.llm.words import buffers, mix, slices, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
 KEY = 52
+CHUNK_BYTES = 2 << 20
+#: Pivots of a group in the second round; the third takes all that are left.
+PIVOTS = 16
+FEW_PAIRS = 100_000
 U = np.uint64
 
 
@@ -143,9 +149,56 @@ def _bag_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, bag binary")
 
 
+def _unpacked(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(bag) // 12
+    return np.frombuffer(bag, np.uint64, n), np.frombuffer(bag, np.uint32, n, 8 * n)
+
+
+def shared_weight(held: DataFrame, source: DataFrame, text_col: str) -> DataFrame:
+    """node and ``reach``: the part of its bag, by weight, that some other bag could share.
+
+    Bags are dealt to chunks; a chunk sends each shingle's hash once and learns which stand in two
+    bags or more. Hashes that meet by chance only raise the reach.
+    """
+    n = shuffle_partitions(held.sparkSession)
+    chunks, buckets = (parts(source, CHUNK_BYTES, n, text_col),) * 2
+    rows = held.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(chunks)))
+
+    def known(table: pa.Table):
+        table = table.sort_by("node")
+        bags_ = [_unpacked(b) for b in table["bag"].to_pylist()]
+        value = mix(np.concatenate([b[0] for b in bags_]))
+        bucket = bucket_of(value, buckets)
+        order = np.argsort(value)
+        fresh = np.concatenate(([True], value[order][1:] != value[order][:-1])) if len(order) else np.zeros(0, bool)
+        head = np.flatnonzero(fresh)
+        number = np.empty(len(order), dtype=np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        return table["node"], bags_, number, value[order][head], bucket[order][head], np.diff(np.append(head, len(order))) > 1
+
+    def send(table: pa.Table) -> pa.Table:
+        _, _, _, value, bucket, two = known(table)
+        low = (value & U(0xFFFFFFFF)).astype(np.uint32)
+        return _by_bucket(table["chunk"][0].as_py(), bucket, lambda a, b: _pack(low[a:b], np.packbits(two[a:b])))
+
+    def add(table: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.table({"node": pa.array([], pa.int64()), "reach": pa.array([], pa.int64())})
+        nodes, bags_, number, *_ = known(table)
+        flags = [np.unpackbits(bits, count=int(k[0])).astype(bool) for bits, k in (_unpack(b, np.uint8, np.int64) for b in _in_order(found))]
+        shared = np.concatenate(flags)[number] if flags else np.zeros(0, bool)
+        weight = np.concatenate([b[1] for b in bags_]).astype(np.int64) * shared
+        owner = np.repeat(np.arange(len(bags_)), [len(b[0]) for b in bags_])
+        return pa.table({"node": nodes, "reach": pa.array(np.bincount(owner, weight, minlength=len(bags_)).astype(np.int64))})
+
+    by_chunk = rows.groupBy("chunk")
+    flags = by_chunk.applyInArrow(send, "bucket long, chunk long, blob binary").groupBy("bucket").applyInArrow(shared_pieces, "bucket long, chunk long, blob binary")
+    return by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(add, "node long, reach long")
+
+
 def overlap(a: bytes, b: bytes) -> float:
     """Weighted Jaccard similarity of two packed bags."""
-    (va, ca), (vb, cb) = ((np.frombuffer(x, np.uint64, len(x) // 12), np.frombuffer(x, np.uint32, len(x) // 12, len(x) // 12 * 8)) for x in (a, b))
+    (va, ca), (vb, cb) = _unpacked(a), _unpacked(b)
     if not len(va) or not len(vb):
         return float(len(va) == len(vb))
     at = np.minimum(np.searchsorted(va, vb), len(va) - 1)
@@ -156,6 +209,9 @@ def overlap(a: bytes, b: bytes) -> float:
 
 def _verify(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose bags are alike enough."""
+    if pairs.count() <= FEW_PAIRS:
+        some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        held = held.join(F.broadcast(some), "node", "left_semi")
     left = pairs.join(held.withColumnsRenamed({"node": "a", "bag": "bag_a"}), "a")
     both = left.join(held.withColumnsRenamed({"node": "b", "bag": "bag_b"}), "b").select("a", "b", "bag_a", "bag_b")
 
@@ -181,36 +237,41 @@ def classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_co
     central = members.groupBy("node").agg(F.sum("mates").alias("weight"))
     held = texts.join(members.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     held = stored(_bag_table(held).dropDuplicates(["node"]))
-    members = stored(members.join(central, "node").select("band", "node", "size", "weight"))
+    # Bags alike enough share least/(1+least) of both weights together, and only what others have.
+    need = least / (1 + least)
+    central = central.join(shared_weight(held, docs, text_col), "node")
+    members = members.join(central, "node").where(F.col("reach") >= need * (1 + least) * F.col("size"))
+    members = stored(members.select("band", "node", "size", "weight", "reach"))
     everyone = stored(members.select("node").distinct())
-    parts = everyone.withColumn("component", F.col("node"))
+    component_of = everyone.withColumn("component", F.col("node"))
     edges, tried, per_group = None, None, 1
     while largest:
-        now = stored(members.join(parts, "node"))
+        now = stored(members.join(component_of, "node"))
         spread = now.groupBy("band", "component").agg(F.count("*").alias("n"))
         groups = stored(spread.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1"))
         open_ = stored(now.join(groups, "band"))
         # Of two components one is not the largest: pivots from the others meet every pair.
         outside = open_.where((F.col("component") != F.col("most.component")) | (F.col("most.n") == 1))
         rank = F.row_number().over(Window.partitionBy("band").orderBy(F.col("weight").desc(), "node"))
-        pivots = outside.withColumn("rank", rank).where(F.col("rank") <= per_group)
-        pivots = stored(pivots.select("band", F.col("node").alias("pivot"), F.col("component").alias("own"), F.col("size").alias("pivot_size")))
-        # A bag over 1/least times another's size can't be alike to it.
-        pairs = open_.join(pivots, "band").where((F.col("component") != F.col("own")) & (F.least("size", "pivot_size") >= least * F.greatest("size", "pivot_size")))
+        pivots = outside.withColumn("rank", rank).where(F.col("rank") <= per_group) if per_group < largest else outside
+        pivots = stored(pivots.select("band", F.col("node").alias("pivot"), F.col("component").alias("own"), F.col("size").alias("pivot_size"), F.col("reach").alias("pivot_reach")))
+        both = need * (F.col("size") + F.col("pivot_size"))
+        able = (F.col("component") != F.col("own")) & (F.least("size", "pivot_size") >= least * F.greatest("size", "pivot_size")) & (F.least("reach", "pivot_reach") >= both)
+        pairs = open_.join(pivots, "band").where(able)
         pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs)
-        if pairs.isEmpty():
-            if per_group >= largest:
-                break
-        else:
+        if not pairs.isEmpty():
             good = stored(_verify(pairs, held, least))
-            edges = good if edges is None else edges.unionByName(good)
             tried = pairs if tried is None else tried.unionByName(pairs)
-            found = stored(components(edges))
-            parts = everyone.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        per_group *= 8
+            if not good.isEmpty():
+                edges = good if edges is None else edges.unionByName(good)
+                found = stored(components(edges))
+                component_of = everyone.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        if per_group >= largest:
+            break
+        per_group = PIVOTS if per_group == 1 else largest
     named = nodes.select("node", "digest_b", "first")
     named = (named.join(found, "node", "left") if edges is not None else named.withColumn("component", F.lit(None).cast("long"))).withColumn("component", F.coalesce("component", "node"))
     least_id = named.groupBy("component").agg(F.min("first").alias("class_id"))
