@@ -32,7 +32,7 @@ BANDS, ROWS = 24, 4
 KEY = 52
 CHUNK_BYTES = 2 << 20
 #: Pivots of a group in the second round; the third takes all that are left.
-PIVOTS = 16
+PIVOTS = 4
 FEW_PAIRS = 100_000
 U = np.uint64
 
@@ -249,14 +249,19 @@ def classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_co
         now = stored(members.join(component_of, "node"))
         spread = now.groupBy("band", "component").agg(F.count("*").alias("n"))
         groups = stored(spread.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1"))
-        open_ = stored(now.join(groups, "band"))
+        open_ = now.join(groups, "band")
+        if per_group > 1:
+            open_ = open_.join(nodes.select("node", "bands"), "node")
+        open_ = stored(open_)
         # Of two components one is not the largest: pivots from the others meet every pair.
         outside = open_.where((F.col("component") != F.col("most.component")) | (F.col("most.n") == 1))
         rank = F.row_number().over(Window.partitionBy("band").orderBy(F.col("weight").desc(), "node"))
         pivots = outside.withColumn("rank", rank).where(F.col("rank") <= per_group) if per_group < largest else outside
-        pivots = stored(pivots.select("band", F.col("node").alias("pivot"), F.col("component").alias("own"), F.col("size").alias("pivot_size"), F.col("reach").alias("pivot_reach")))
+        pivots = stored(pivots.select("band", F.col("node").alias("pivot"), F.col("component").alias("own"), F.col("size").alias("pivot_size"), F.col("reach").alias("pivot_reach"), *([F.col("bands").alias("pivot_bands")] if per_group > 1 else [])))
         both = need * (F.col("size") + F.col("pivot_size"))
         able = (F.col("component") != F.col("own")) & (F.least("size", "pivot_size") >= least * F.greatest("size", "pivot_size")) & (F.least("reach", "pivot_reach") >= both)
+        if per_group > 1:  # a pair that shares several bands is named in the first of them only
+            able &= F.expr("get(filter(bands, (x, i) -> x = pivot_bands[i]), 0) = band")
         pairs = open_.join(pivots, "band").where(able)
         pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         if tried is not None:
