@@ -34,6 +34,8 @@ SEGMENT = 1 << 19
 INDEX = 20
 CHUNK_BYTES = 1 << 20
 BUCKET_BYTES = 6 << 20
+#: Stretches sorted at once.
+AT_ONCE = 30_000
 U = np.uint64
 
 
@@ -179,6 +181,11 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return [np.frombuffer(data, dtype=k, count=int(s) // np.dtype(k).itemsize, offset=int(e - s)) for k, s, e in zip(kinds, sizes, ends, strict=True)]
 
 
+def bucket_of(value: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by the first 32 bits, so values in order have their buckets in order; the last 32 bits tell values apart."""
+    return ((value >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+
+
 class Chunk:
     """The rows of one chunk and what its windows hold."""
 
@@ -191,14 +198,14 @@ class Chunk:
         doc = np.searchsorted(self.offs, start, "right") - 1
         held = self.known[doc]
         self.start, self.count, self.lead, hashed, self.doc = start[held], count[held], (place - start)[held], hashed[held], doc[held]
-        self.bucket = ((hashed >> U(32)) % U(buckets)).astype(np.int64)
+        self.bucket = bucket_of(hashed, buckets)
         self.hashed = hashed
 
     def pieces(self):
         """Distinct pieces in order of bucket and hash: bucket, hash, whether in two ids, each run's number."""
-        order = np.lexsort((self.hashed, self.bucket))
+        order = np.argsort(self.hashed)
         b, h = self.bucket[order], self.hashed[order]
-        fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (b[1:] != b[:-1]))) if len(h) else np.zeros(0, bool)
+        fresh = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
         head = np.flatnonzero(fresh)
         number = np.empty(len(h), dtype=np.int64)
         number[order] = np.cumsum(fresh) - 1
@@ -213,7 +220,7 @@ class Chunk:
         s, e = self.start[run], self.start[run] + self.count[run] + LENGTH - 1
         shape = mix((self.count[run] << 8 | self.lead[run]).astype(np.uint64) + U(1))
         content = mix(mix((total[e] - total[s]) * down[s]) + shape)
-        order = np.lexsort((content, self.hashed[run], self.bucket[run]))
+        order = np.lexsort((content, self.hashed[run]))
         r, c = run[order], content[order]
         if len(r):
             fresh = np.concatenate(([True], (c[1:] != c[:-1]) | (self.hashed[r[1:]] != self.hashed[r[:-1]])))
@@ -234,8 +241,7 @@ class Chunk:
 
 def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of all stretches, one after another."""
-    ends = np.cumsum(size)
-    return raw[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+    return raw[_places(start, size)]
 
 
 def _by_bucket(chunk, bucket: np.ndarray, packed) -> pa.Table:
@@ -270,53 +276,70 @@ def shared_pieces(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": table["bucket"], "chunk": table["chunk"], "blob": pa.array(blobs, pa.binary())})
 
 
-def least_ids(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each chunk's stretches, the least doc_id of every window."""
-    table = table.sort_by("chunk")
-    parts_ = [_unpack(b, np.uint64, np.uint8, np.uint8, np.int64, np.uint8) for b in table["blob"].to_pylist()]
-    piece, count, lead, ids, raw = (np.concatenate(x) for x in zip(*parts_, strict=True))
-    count, lead = count.astype(np.int64), lead.astype(np.int64)
+def _least_of(raw: np.ndarray, piece: np.ndarray, count: np.ndarray, lead: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The least doc_id of every window of some stretches, which hold all of their pieces' stretches."""
     size = count + LENGTH - 1
     start = np.cumsum(size) - size
-    _, piece = np.unique(piece, return_inverse=True)
     order, equal = suffix_sort(raw, piece << 16 | lead << 8 | count, start, size)
     kind = np.empty(len(order), dtype=np.int64)
     kind[order] = np.cumsum(~equal) - 1
     one = order[~equal]
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, kind, ids)
-    # pieces with several different stretches: every window by itself
-    kinds_of_piece = np.bincount(piece[one])
-    several = np.flatnonzero(kinds_of_piece[piece[one]] > 1)
-    rep = one[several]
-    win = np.repeat(np.arange(len(rep)), count[rep])
-    step = np.arange(len(win)) - np.repeat(np.cumsum(count[rep]) - count[rep], count[rep])
-    begin = start[rep][win] + step
-    group = piece[rep][win] << 8 | (lead[rep][win] - step + 128)
-    worder, wequal = suffix_sort(raw, group, begin, np.full(len(win), LENGTH, dtype=np.int64))
-    wkind = np.empty(len(worder), dtype=np.int64)
-    wkind[worder] = np.cumsum(~wequal) - 1
-    wleast = np.full(int((~wequal).sum()), np.iinfo(np.int64).max)
-    np.minimum.at(wleast, wkind, least[several][win])
-    window = wleast[wkind]
-    first_window = np.full(len(one), -1, dtype=np.int64)
-    first_window[several] = np.cumsum(count[rep]) - count[rep]
-    # a stretch whose windows all have one least id is answered once
-    uniform = np.ones(len(one), dtype=bool)
-    value = least.copy()
-    if len(rep):
-        head = first_window[several]
-        low, high = np.minimum.reduceat(window, head), np.maximum.reduceat(window, head)
-        uniform[several] = low == high
-        value[several] = low
+    # windows of one stretch for each kind; a kind alone with its piece needs no more
+    ends = np.cumsum(count[one])
+    window = np.repeat(least, count[one])
+    several = np.flatnonzero(np.bincount(piece[one])[piece[one]] > 1)
+    if len(several):
+        rep = one[several]
+        win = np.repeat(np.arange(len(rep)), count[rep])
+        step = np.arange(len(win)) - np.repeat(np.cumsum(count[rep]) - count[rep], count[rep])
+        group = piece[rep][win] << 8 | (lead[rep][win] - step + 128)
+        worder, wequal = suffix_sort(raw, group, start[rep][win] + step, np.full(len(win), LENGTH, dtype=np.int64))
+        wkind = np.empty(len(worder), dtype=np.int64)
+        wkind[worder] = np.cumsum(~wequal) - 1
+        wleast = np.full(int((~wequal).sum()), np.iinfo(np.int64).max)
+        np.minimum.at(wleast, wkind, least[several][win])
+        window[np.repeat(ends[several] - count[rep], count[rep]) + step] = wleast[wkind]
+    return window[_places((ends - count[one])[kind], count)]
+
+
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges that begin at ``start``, one range after another."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def least_ids(table: pa.Table) -> pa.Table:
+    """Of one bucket: for each chunk's stretches, the least doc_id of every window.
+
+    Pieces are worked off some at a time, so what sorting needs does not grow with the bucket.
+    """
+    table = table.sort_by("chunk")
+    parts_ = [_unpack(b, np.uint64, np.uint8, np.uint8, np.int64, np.uint8) for b in table["blob"].to_pylist()]
+    piece, count, lead, ids, raw = (np.concatenate(x) for x in zip(*parts_, strict=True))
+    count, lead = count.astype(np.int64), lead.astype(np.int64)
+    size = count + LENGTH - 1
+    start, first = np.cumsum(size) - size, np.cumsum(count) - count
+    _, piece = np.unique(piece, return_inverse=True)
+    order = np.argsort(piece, kind="stable")
+    head = np.flatnonzero(np.concatenate(([True], np.diff(piece[order]) > 0)))
+    stops = np.searchsorted(head, np.arange(0, len(order), AT_ONCE))
+    cut = np.unique(np.append(head[stops[stops < len(head)]], [0, len(order)]))
+    window = np.empty(int(count.sum()), dtype=np.int64)
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        some = order[a:b]
+        found = _least_of(_gather(raw, start[some], size[some]), piece[some] - piece[some[0]], count[some], lead[some], ids[some])
+        window[_places(first[some], count[some])] = found
+    low, high = np.minimum.reduceat(window, first), np.maximum.reduceat(window, first)
+    uniform = low == high
     blobs, at = [], 0
     for p in parts_:
-        k = kind[at : at + len(p[0])]
+        own = slice(at, at + len(p[0]))
         at += len(p[0])
-        mixed = k[~uniform[k]]
-        n = count[one[mixed]]
-        inner = window[np.repeat(first_window[mixed] - (np.cumsum(n) - n), n) + np.arange(n.sum())] if len(mixed) else np.zeros(0, np.int64)
-        blobs.append(_pack(uniform[k].astype(np.uint8), value[k], inner))
+        mixed = np.flatnonzero(~uniform[own])
+        inner = window[_places(first[own][mixed], count[own][mixed])]
+        blobs.append(_pack(uniform[own].astype(np.uint8), low[own], inner))
     return pa.table({"bucket": table["bucket"], "chunk": table["chunk"], "blob": pa.array(blobs, pa.binary())})
 
 
@@ -324,7 +347,7 @@ def deduplicate(docs: DataFrame, keep: list[str] | None = None, id_col: str = "d
     """``keep`` with n_bytes, n_removed, removed (array of start and end bytes), kept (binary, with ``texts_too``) and kept_sha256."""
     keep = keep or [id_col]
     n = shuffle_partitions(docs.sparkSession)
-    chunks, buckets = parts(docs, CHUNK_BYTES, 4 * n), parts(docs, BUCKET_BYTES, 4 * n)
+    chunks, buckets = parts(docs, CHUNK_BYTES, n, text_col), parts(docs, BUCKET_BYTES, n, text_col)
     names = [f"_k{i}" for i in range(len(keep))]
     dealt = F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(chunks))
     texts = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, names, strict=True)), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), dealt.alias("chunk"))
