@@ -56,6 +56,23 @@ def test_suffixes_of_repetitive_and_odd_texts(spark, odd, empty):
     assert suffixes.deduplicate(empty).count() == 0
 
 
+def test_runs_do_not_depend_on_the_order_of_documents(monkeypatch):
+    monkeypatch.setattr(suffixes, "SEGMENT", 500)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.choice([10, 80, 300, 2000]))) for _ in range(40)]
+
+    def found(order):
+        raw, offs = words.buffers(pa.array([texts[i] for i in order]))
+        start, count, place, hashed = suffixes.runs(raw, offs)
+        doc = np.searchsorted(offs, start, "right") - 1
+        return sorted((order[d], int(a - offs[d]), int(n), int(p - offs[d]), int(h)) for d, a, n, p, h in zip(doc, start, count, place, hashed, strict=True))
+
+    order = list(range(40))
+    first = found(order)
+    rng.shuffle(order)
+    assert found(order) == first and len(first) > 100
+
+
 def test_suffix_sort_is_the_order_of_suffixes():
     rng = np.random.default_rng(4)
     raw = rng.integers(97, 99, 3000).astype(np.uint8)
