@@ -34,6 +34,8 @@ CHUNK_BYTES = 2 << 20
 #: Pivots of a group in the second round; the third takes all that are left.
 PIVOTS = 4
 FEW_PAIRS = 100_000
+#: Bounds on whole numbers give way by this much, so that rounding drops no pair at ``least`` itself.
+SLACK = 1e-6
 U = np.uint64
 
 
@@ -240,7 +242,7 @@ def classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_co
     # Bags alike enough share least/(1+least) of both weights together, and only what others have.
     need = least / (1 + least)
     central = central.join(shared_weight(held, docs, text_col), "node")
-    members = members.join(central, "node").where(F.col("reach") >= need * (1 + least) * F.col("size"))
+    members = members.join(central, "node").where(F.col("reach") >= least * F.col("size") - SLACK)
     members = stored(members.select("band", "node", "size", "weight", "reach"))
     everyone = stored(members.select("node").distinct())
     component_of = everyone.withColumn("component", F.col("node"))
@@ -258,8 +260,8 @@ def classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_co
         rank = F.row_number().over(Window.partitionBy("band").orderBy(F.col("weight").desc(), "node"))
         pivots = outside.withColumn("rank", rank).where(F.col("rank") <= per_group) if per_group < largest else outside
         pivots = stored(pivots.select("band", F.col("node").alias("pivot"), F.col("component").alias("own"), F.col("size").alias("pivot_size"), F.col("reach").alias("pivot_reach"), *([F.col("bands").alias("pivot_bands")] if per_group > 1 else [])))
-        both = need * (F.col("size") + F.col("pivot_size"))
-        able = (F.col("component") != F.col("own")) & (F.least("size", "pivot_size") >= least * F.greatest("size", "pivot_size")) & (F.least("reach", "pivot_reach") >= both)
+        both = need * (F.col("size") + F.col("pivot_size")) - SLACK
+        able = (F.col("component") != F.col("own")) & (F.least("size", "pivot_size") >= least * F.greatest("size", "pivot_size") - SLACK) & (F.least("reach", "pivot_reach") >= both)
         if per_group > 1:  # a pair that shares several bands is named in the first of them only
             able &= F.expr("get(filter(bands, (x, i) -> x = pivot_bands[i]), 0) = band")
         pairs = open_.join(pivots, "band").where(able)

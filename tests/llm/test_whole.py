@@ -1,0 +1,16 @@
+"""Work that must be done whole: ties, later partners, several passages, items by the thousand."""
+
+import pytest
+
+from newsloom.llm import bags
+
+
+def numbered(prefix: str, n: int, changed=()) -> str:
+    return " ".join(f"{prefix}{'x' if i in changed else ''}{i}" for i in range(n))
+
+
+@pytest.mark.parametrize("long, short", [((39, ()), (32, ())), ((139, ()), (139, (20, 60, 100)))])
+def test_bags_alike_by_exactly_the_least_are_linked(spark, long, short):
+    rows = [(1, numbered("w", *long)), (2, numbered("w", *short)), (3, numbered("v", 39))]
+    got = {r.doc_id: r.class_id for r in bags.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
