@@ -1,8 +1,10 @@
 """Work that must be done whole: ties, later partners, several passages, items by the thousand."""
 
+import random
+
 import pytest
 
-from newsloom.llm import bags
+from newsloom.llm import bags, leaks
 
 
 def numbered(prefix: str, n: int, changed=()) -> str:
@@ -14,3 +16,20 @@ def test_bags_alike_by_exactly_the_least_are_linked(spark, long, short):
     rows = [(1, numbered("w", *long)), (2, numbered("w", *short)), (3, numbered("v", 39))]
     got = {r.doc_id: r.class_id for r in bags.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_leaks_with_three_words_of_ten_replaced_among_items_by_the_thousand(spark):
+    rng = random.Random(3)
+    common = [f"c{k}" for k in range(3000)]
+    items = {i: [f"r{i}x{k}" for k in range(4)] + [rng.choice(common) for _ in range(26)] for i in range(1_900)}
+    rows = []
+    for d in range(400):
+        kept = list(items[d * 4])
+        for k in rng.sample(range(4, 30), 9):
+            kept[k] = rng.choice(common)
+        rows.append((d, " ".join([*rng.choices(common, k=40), *kept, *rng.choices(common, k=40)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs, asked).collect()}
+    want = {(d, d * 4) for d, _ in rows}
+    assert want <= got, f"{len(want & got)} of {len(want)}"
