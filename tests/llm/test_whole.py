@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from newsloom.llm import bags, leaks
+from newsloom.llm import bags, leaks, passages
 
 
 def numbered(prefix: str, n: int, changed=()) -> str:
@@ -33,3 +33,12 @@ def test_leaks_with_three_words_of_ten_replaced_among_items_by_the_thousand(spar
     got = {(r.doc_id, r.item_id) for r in leaks.leaks(docs, asked).collect()}
     want = {(d, d * 4) for d, _ in rows}
     assert want <= got, f"{len(want & got)} of {len(want)}"
+
+
+def test_every_passage_of_an_interval_has_a_row(spark):
+    one, two = numbered("p", 60), numbered("q", 60)
+    rows = [(1, f"{one} {numbered('a', 30)} {two}"), (2, f"{one} {numbered('b', 30)} {two}")]
+    got = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in got} == {(2, 1)}
+    for low in (0, 90):
+        assert any(abs(r.start_word - low) <= 3 and abs(r.end_word - low - 60) <= 3 for r in got), got
