@@ -2,23 +2,54 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: A size that no input has: what the optimizer says when it does not know.
-UNKNOWN = 1 << 52
+def text_bytes(frame: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts of a frame, counted by one pass over that column."""
+    return frame.agg(F.coalesce(F.sum(F.octet_length(F.col(quoted(text)).cast("string"))), F.lit(0))).first()[0]
 
 
-def input_bytes(frame: DataFrame, text: str = "text") -> int:
-    """The size of the files a frame reads, by the optimizer's knowledge; where it has none, of its texts."""
-    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    if size < UNKNOWN:
-        return size
-    return frame.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
+def quoted(name: str) -> str:
+    """A column's name as ``F.col`` takes it, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(frame: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the frame does not have."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Bytes of one Arrow batch between the JVM and Python, and rows where texts are short.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold at most BATCH_ROWS rows and about BATCH_BYTES."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None)
+        number = int(re.sub(r"\D", "", now)) if now and not now.startswith("-") and re.fullmatch(r"\d+b?", now) else 0
+        if not 0 < number <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
+def with_text(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
+    """The columns ``keep`` and the text, sent once, and the text's position."""
+    bounded_batches(docs.sparkSession)
+    columns = [F.col(quoted(c)) for c in keep]
+    if text in keep and docs.schema[text].dataType.simpleString() == "string":
+        return docs.select(*columns), keep.index(text)
+    return docs.select(*columns, F.col(quoted(text)).cast("string").alias(unused(docs, "_text"))), len(keep)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -26,23 +57,59 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def parts(frame: DataFrame, size: int, least: int = 1, text: str = "text") -> int:
-    """How many parts of about ``size`` bytes the frame's input makes."""
-    return max(least, -(-input_bytes(frame, text) // size))
+    """How many parts of about ``size`` bytes the frame's texts make."""
+    return max(least, -(-text_bytes(frame, text) // size))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; one of our own only where none is set, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A folder of this application in the cluster's checkpoint folder.
+
+    Where no folder is set, only a driver whose executors are its own threads may make one.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and context._jsc.sc().getCheckpointDir().isDefined():
+        folder = context._jsc.sc().getCheckpointDir().get()
     if not folder:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="newsloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{folder.rstrip('/')}/newsloom-{context.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by then
+        _delete(spark, path)
+
+
+_kept: set[str] = set()
 
 
 def stored(frame: DataFrame) -> DataFrame:
-    """The frame written to the shared folder and read again: its lineage ends there."""
-    path = f"{shared_folder(frame.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    """The frame written to the shared folder and read again: its lineage ends there.
+
+    What is left when the Python process ends is deleted then; ``release`` deletes earlier.
+    """
+    spark = frame.sparkSession
+    folder = shared_folder(spark)
+    if folder not in _kept:
+        _kept.add(folder)
+        atexit.register(_delete_at_exit, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    found = spark.read.schema(frame.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete what ``stored`` wrote for frames that nothing reads any more."""
+    for frame in frames:
+        if frame is not None:
+            _delete(frame.sparkSession, frame._stored_at)

@@ -11,7 +11,8 @@ whose least doc_id is below the document's own.
 
 A chunk sends each piece or stretch once, so a passage in a third of all documents makes one entry
 for each chunk. Null text counts as empty. Rows without doc_id are left as they are and remove
-nothing; rows of one doc_id do not affect each other. Texts under 50 bytes are kept.
+nothing; rows of one doc_id, equal or not, do not affect each other and each gives a row. Texts under
+50 bytes are kept. A very long text is one chunk, hashed by segments. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,27 +26,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from newsloom.llm.plan import parts, shuffle_partitions
-from newsloom.llm.words import buffers, mix, powers
+from newsloom.llm.plan import bounded_batches, parts, quoted, shuffle_partitions
+from newsloom.llm.words import TOP, buffers, mix, power, prefix_hashes
 
 LENGTH = 50
 PIECE = 24
-SEGMENT = 1 << 19
+SEGMENT = 1 << 18
 INDEX = 20
 CHUNK_BYTES = 1 << 20
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 5 << 20
 #: Stretches sorted at once.
-AT_ONCE = 30_000
+AT_ONCE = 6_000
 U = np.uint64
-
-
-def prefix_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix polynomial hashes and the inverse powers that align two of them."""
-    up, down = powers(len(raw))
-    out = np.empty(len(raw) + 1, dtype=np.uint64)
-    out[0] = 0
-    np.cumsum((raw.astype(np.uint64) + U(1)) * up[: len(raw)], out=out[1:])
-    return out, down
+#: Columns that ``deduplicate`` adds.
+MADE = ("n_bytes", "n_removed", "removed", "kept", "kept_sha256")
 
 
 def runs(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, piece: int = PIECE):
@@ -69,8 +63,8 @@ def runs(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, piece: int = P
         if hi <= lo:
             continue
         part = raw[lo : hi + length - 1]
-        total, down = prefix_hashes(part)
-        grams = mix((total[piece:] - total[:-piece]) * down[: len(part) - piece + 1])
+        total = prefix_hashes(part)
+        grams = mix((total[piece:] - total[:-piece]) * power(TOP - np.arange(len(part) - piece + 1)))
         least = grams >> U(INDEX) << U(INDEX) | np.arange(len(grams), dtype=np.uint64)
         size = 1
         while size * 2 <= width:
@@ -99,17 +93,18 @@ def runs(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, piece: int = P
     return cat(starts, np.int64), cat(counts, np.int64), cat(places, np.int64), cat(hashes, np.uint64)
 
 
-def _extension(total, down, a, b, most):
+def _extension(total, a, b, most):
     """Length of the common extension of suffixes a and b, at most ``most``, by binary search."""
     low, high = np.zeros(len(a), dtype=np.int64), most.copy()
-    whole = (total[a + most] - total[a]) * down[a] == (total[b + most] - total[b]) * down[b]
+    up_a, up_b = power(TOP - a), power(TOP - b)
+    whole = (total[a + most] - total[a]) * up_a == (total[b + most] - total[b]) * up_b
     low[whole] = most[whole]
     open_ = np.flatnonzero(~whole)
     high[open_] -= 1
     while len(open_):
         x, y = a[open_], b[open_]
         mid = (low[open_] + high[open_] + 1) >> 1
-        same = (total[x + mid] - total[x]) * down[x] == (total[y + mid] - total[y]) * down[y]
+        same = (total[x + mid] - total[x]) * up_a[open_] == (total[y + mid] - total[y]) * up_b[open_]
         low[open_] = np.where(same, mid, low[open_])
         high[open_] = np.where(same, high[open_], mid - 1)
         open_ = open_[low[open_] < high[open_]]
@@ -121,7 +116,7 @@ def suffix_sort(raw: np.ndarray, group: np.ndarray, start: np.ndarray, length: n
 
     Runs of doubling width are merged by ranking every suffix in the run beside its own.
     """
-    total, down = prefix_hashes(raw)
+    total = prefix_hashes(raw)
     order = np.argsort(group, kind="stable")
     g = group[order]
     head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
@@ -144,7 +139,7 @@ def suffix_sort(raw: np.ndarray, group: np.ndarray, start: np.ndarray, length: n
             other = order[base[live[open_]] + mid]
             mine = own[open_]
             most = np.minimum(length[mine], length[other])
-            shared = _extension(total, down, start[mine], start[other], most)
+            shared = _extension(total, start[mine], start[other], most)
             ended = shared >= most
             inside = np.minimum(shared, most - 1)
             below = np.where(ended, length[other] < length[mine], raw[start[other] + inside] < raw[start[mine] + inside])
@@ -163,7 +158,7 @@ def suffix_sort(raw: np.ndarray, group: np.ndarray, start: np.ndarray, length: n
         a, b = order[:-1], order[1:]
         near = np.flatnonzero((group[a] == group[b]) & (length[a] == length[b]))
         a, b = a[near], b[near]
-        same = _extension(total, down, start[a], start[b], length[a]) == length[a]
+        same = _extension(total, start[a], start[b], length[a]) == length[a]
         equal[near[same] + 1] = _same_bytes(raw, start[a[same]], start[b[same]], length[a[same]])
     return order, equal
 
@@ -206,7 +201,8 @@ class Chunk:
         start, count, place, hashed = runs(self.raw, self.offs)
         doc = np.searchsorted(self.offs, start, "right") - 1
         held = self.known[doc]
-        self.start, self.count, self.lead, hashed, self.doc = start[held], count[held], (place - start)[held], hashed[held], doc[held]
+        # the least of many hashes is small: mixed again, pieces spread over all buckets
+        self.start, self.count, self.lead, hashed, self.doc = start[held], count[held], (place - start)[held], mix(hashed[held]), doc[held]
         self.bucket = bucket_of(hashed, buckets)
         self.hashed = hashed
 
@@ -225,10 +221,10 @@ class Chunk:
     def stretches(self, shared: np.ndarray, number: np.ndarray):
         """Distinct stretches of runs whose piece is shared: the runs, each run's stretch, one run of each, least id."""
         run = np.flatnonzero(shared[number])
-        total, down = prefix_hashes(self.raw)
+        total = prefix_hashes(self.raw)
         s, e = self.start[run], self.start[run] + self.count[run] + LENGTH - 1
         shape = mix((self.count[run] << 8 | self.lead[run]).astype(np.uint64) + U(1))
-        content = mix(mix((total[e] - total[s]) * down[s]) + shape)
+        content = mix(mix((total[e] - total[s]) * power(TOP - s)) + shape)
         order = np.lexsort((content, self.hashed[run]))
         r, c = run[order], content[order]
         if len(r):
@@ -353,13 +349,18 @@ def least_ids(table: pa.Table) -> pa.Table:
 
 
 def deduplicate(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", texts_too: bool = True) -> DataFrame:
-    """``keep`` with n_bytes, n_removed, removed (array of start and end bytes), kept (binary, with ``texts_too``) and kept_sha256."""
-    keep = keep or [id_col]
+    """``keep`` with n_bytes, n_removed, removed (array of start and end bytes), kept (binary, with ``texts_too``) and kept_sha256.
+
+    A made column takes the place of a kept one of its name; other names can't clash.
+    """
+    keep = [c for c in keep or [id_col] if c.lower() not in MADE]
+    bounded_batches(docs.sparkSession)
     n = shuffle_partitions(docs.sparkSession)
     chunks, buckets = parts(docs, CHUNK_BYTES, n, text_col), parts(docs, BUCKET_BYTES, n, text_col)
     names = [f"_k{i}" for i in range(len(keep))]
-    dealt = F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text_col))), F.lit(chunks))
-    texts = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, names, strict=True)), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), dealt.alias("chunk"))
+    own, text = F.col(quoted(id_col)), F.col(quoted(text_col))
+    dealt = F.pmod(F.xxhash64(own, F.when(own.isNull(), text)), F.lit(chunks))
+    texts = docs.select(*(F.col(quoted(c)).alias(k) for c, k in zip(keep, names, strict=True)), own.cast("long").alias("doc_id"), text.cast("string").alias("text"), dealt.alias("chunk"))
     blobs = "bucket long, chunk long, blob binary"
 
     def number(key, table: pa.Table) -> int:

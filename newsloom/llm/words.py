@@ -7,6 +7,8 @@ A word's hash is a polynomial over its bytes modulo 2**64, finished with an aval
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,22 +21,52 @@ WORD[48:58] = WORD[97:123] = WORD[128:] = True
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 #: Bytes hashed at once; a longer document is cut at a byte that belongs to no word.
-SEGMENT = 1 << 20
-
-_tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i in 0..n, cached by the next power of two."""
-    size = 1 << max(10, n.bit_length())
-    if (size, base) not in _tables:
-        both = []
-        for step in (base, pow(base, -1, 1 << 64)):
-            out = np.full(size + 1, step & MASK, dtype=np.uint64)
-            out[0] = 1
-            both.append(np.multiply.accumulate(out))
-        _tables[size, base] = tuple(both)
-    return _tables[size, base]
+SEGMENT = 1 << 18
+
+#: Bits of one of an exponent's three digits.
+DIGIT = 11
+#: The greatest exponent, beyond any text's length.
+TOP = (1 << 3 * DIGIT) - 1
+
+
+@functools.cache
+def _digits(base: int) -> list[np.ndarray]:
+    """base**(i * 2**(DIGIT*k)) modulo 2**64 for i below 2**DIGIT and k = 0, 1, 2."""
+    tables = []
+    for k in range(3):
+        out = np.full(1 << DIGIT, pow(base, 1 << DIGIT * k, 1 << 64), dtype=np.uint64)
+        out[0] = 1
+        tables.append(np.multiply.accumulate(out))
+    return tables
+
+
+def power(exponent: np.ndarray, base: int = BASE) -> np.ndarray:
+    """base**exponent modulo 2**64, digit by digit: no table of all powers is held."""
+    low, middle, high = _digits(base)
+    below = (1 << DIGIT) - 1
+    return high[exponent >> 2 * DIGIT] * middle[exponent >> DIGIT & below] * low[exponent & below]
+
+
+def powers(n: int, base: int = BASE) -> np.ndarray:
+    """base**i modulo 2**64 for i in 0..n-1, n at most 2**(2*DIGIT)."""
+    low, middle, _ = _digits(base)
+    return np.multiply.outer(middle[: (n >> DIGIT) + 1], low).ravel()[:n]
+
+
+def prefix_hashes(raw: np.ndarray) -> np.ndarray:
+    """Prefix polynomial hashes of bytes: [e] - [s], times power(TOP - s), is the hash of raw[s:e]."""
+    out = np.empty(len(raw) + 1, dtype=np.uint64)
+    out[0] = 0
+    step = 1 << 18
+    for a in range(0, len(raw), step):
+        part = raw[a : a + step].astype(np.uint64)
+        part += np.uint64(1)
+        part *= powers(len(part))
+        if a:
+            part *= power(np.array(a))
+        np.cumsum(part, out=out[a + 1 : a + 1 + len(part)])
+        out[a + 1 : a + 1 + len(part)] += out[a]
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,11 +130,8 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray, spans: bool = False):
         after[cut[cut > 0] - 1] = False
         first = np.flatnonzero(m & ~before)
         last = np.flatnonzero(m & ~after) + 1
-        up, down = powers(len(b))
-        prefix = np.empty(len(b) + 1, dtype=np.uint64)
-        prefix[0] = 0
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=prefix[1:])
-        hashes.append(mix((prefix[last] - prefix[first]) * down[first] + (last - first).astype(np.uint64)))
+        prefix = prefix_hashes(b)
+        hashes.append(mix((prefix[last] - prefix[first]) * power(TOP - first) + (last - first).astype(np.uint64)))
         firsts.append(first + lo)
         lasts.append(last + lo)
     cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
@@ -117,7 +146,7 @@ def hash_word(word: str) -> int:
     return int(word_hashes(raw, np.array([0, len(raw)]))[0][0])
 
 
-def slices(batch: pa.RecordBatch, text: int, size: int = 4 << 20):
+def slices(batch: pa.RecordBatch, text: int, size: int = 1 << 20):
     """Zero-copy slices of a batch holding about ``size`` bytes of text or one row."""
     column = batch.column(text)
     if not len(column):
