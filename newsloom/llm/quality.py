@@ -3,7 +3,9 @@
 Shallow trees are boosted in turn on one binned feature at a time (then on chosen pairs of
 features) and added into lookup tables, so a score is a sum of table entries under a sigmoid.
 Features come from the text alone. Null text counts as empty; empty text has the features of no
-characters and gets a score like any other. Extra columns are dropped by the query.
+characters and gets a score like any other. Every row gets a score, repeated rows and rows without id
+too; an empty table gives none. Very long texts are worked off by segments of words. Of several labels
+of one id the highest counts. Kept columns may have any names; a value on a bin's edge is in the bin above.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from newsloom.llm.plan import bounded_batches, quoted, with_text
 from newsloom.llm.sampling import lowest
 from newsloom.llm.words import buffers, slices, word_hashes
 
@@ -99,43 +103,72 @@ class Additive:
 
 
 def _edges(x: np.ndarray, bins: int) -> np.ndarray:
-    return np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1])).astype(np.float32)
+    """Bin edges halfway between neighbouring values, at quantiles where there are more values than bins."""
+    values = np.unique(x)
+    if len(values) > bins:
+        values = np.unique(np.quantile(x, np.linspace(0, 1, bins + 1)[1:-1], method="nearest"))
+        above = np.unique(x)[np.minimum(np.searchsorted(np.unique(x), values, "right"), len(np.unique(x)) - 1)]
+        return np.unique((values + above) / 2).astype(np.float32)
+    return ((values[1:] + values[:-1]) / 2).astype(np.float32)
 
 
-def _split(g: np.ndarray, h: np.ndarray, least: float, ridge: float) -> tuple[float, int]:
+def _split(g: np.ndarray, h: np.ndarray, n: np.ndarray, least: float, ridge: float) -> tuple[float, int]:
     """Best cut of ordered bins: gain and how many bins go left (0: none)."""
-    gl, hl = np.cumsum(g)[:-1], np.cumsum(h)[:-1]
+    gl, hl, nl = np.cumsum(g)[:-1], np.cumsum(h)[:-1], np.cumsum(n)[:-1]
     gr, hr = g.sum() - gl, h.sum() - hl
-    gain = np.where((hl >= least) & (hr >= least), gl**2 / (hl + ridge) + gr**2 / (hr + ridge) - g.sum() ** 2 / (h.sum() + ridge), 0)
+    enough = (nl >= least) & (n.sum() - nl >= least)
+    gain = np.where(enough, gl**2 / (hl + ridge) + gr**2 / (hr + ridge) - g.sum() ** 2 / (h.sum() + ridge), 0)
     return (float(gain.max()), int(gain.argmax()) + 1) if len(gain) and gain.max() > 0 else (0.0, 0)
 
 
-def _tree(g: np.ndarray, h: np.ndarray, depth: int, least: float, ridge: float) -> np.ndarray:
-    """Leaf values of a tree over ordered bins."""
-    gain, cut = _split(g, h, least, ridge) if depth else (0.0, 0)
+def _tree(g: np.ndarray, h: np.ndarray, n: np.ndarray, depth: int, least: float, ridge: float) -> np.ndarray:
+    """Leaf values of a tree over ordered bins with n rows each."""
+    _, cut = _split(g, h, n, least, ridge) if depth else (0.0, 0)
     if not cut:
         return np.full(len(g), g.sum() / (h.sum() + ridge))
-    return np.concatenate([_tree(g[:cut], h[:cut], depth - 1, least, ridge), _tree(g[cut:], h[cut:], depth - 1, least, ridge)])
+    return np.concatenate([_tree(g[part], h[part], n[part], depth - 1, least, ridge) for part in (slice(0, cut), slice(cut, None))])
 
 
-def _tree2(g: np.ndarray, h: np.ndarray, least: float, ridge: float) -> tuple[float, np.ndarray]:
+def _tree2(g: np.ndarray, h: np.ndarray, n: np.ndarray, least: float, ridge: float) -> tuple[float, np.ndarray]:
     """Best cut along one axis, then one cut along the other in each half."""
     best, values = 0.0, np.zeros_like(g)
     for axis in (0, 1):
-        a, b = (g, h) if axis == 0 else (g.T, h.T)
-        gain, cut = _split(a.sum(1), b.sum(1), least, ridge)
+        a, b, c = (g, h, n) if axis == 0 else (g.T, h.T, n.T)
+        gain, cut = _split(a.sum(1), b.sum(1), c.sum(1), least, ridge)
         if cut:
             out = np.zeros_like(a)
             for part in (slice(0, cut), slice(cut, None)):
-                gain += _split(a[part].sum(0), b[part].sum(0), least, ridge)[0]
-                out[part] = _tree(a[part].sum(0), b[part].sum(0), 1, least, ridge)
+                gain += _split(a[part].sum(0), b[part].sum(0), c[part].sum(0), least, ridge)[0]
+                out[part] = _tree(a[part].sum(0), b[part].sum(0), c[part].sum(0), 1, least, ridge)
             if gain > best:
                 best, values = gain, out if axis == 0 else out.T
     return best, values
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 30, bins: int = 64, n_pairs: int = 6, rate: float = 0.12, ridge: float = 2.0) -> Additive:
-    """Cyclic boosting under log loss. With one class only, the score is that class's smoothed rate."""
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 30, folds: int = 5, **how) -> Additive:
+    """Cyclic boosting under log loss, for as many rounds as rows left out in turn are predicted best by.
+
+    Every row is left out once; each class is dealt evenly. With one class only, the score is that
+    class's smoothed rate.
+    """
+    if len(y) < 2 or len(np.unique(y)) < 2:
+        return boosted(x, y, 0, 0, **how)[0]
+    fold = np.empty(len(y), dtype=np.int64)
+    for value in (0, 1):
+        fold[y == value] = np.arange((y == value).sum()) % folds
+    losses = []
+    for k in range(folds):
+        out = fold == k
+        if out.any() and len(np.unique(y[~out])) == 2:
+            losses.append(boosted(x[~out], y[~out], rounds, pair_rounds, watch=(x[out], y[out]), **how)[1] * out.sum())
+    best = int(np.argmin(np.sum(losses, axis=0))) if losses else rounds
+    return boosted(x, y, min(best, rounds), max(best - rounds, 0), **how)[0]
+
+
+def boosted(x: np.ndarray, y: np.ndarray, rounds: int, pair_rounds: int, watch=None, bins: int = 64, n_pairs: int = 6, rate: float = 0.12, ridge: float = 1.0, rows: int = 3) -> tuple[Additive, np.ndarray]:
+    """A model of ``rounds`` over features, then ``pair_rounds`` over pairs, and the mean log loss on
+    the watched rows before the first and after each of them. A leaf has ``rows`` rows or more, or
+    a two-thousandth of all."""
     rate_1 = (y.sum() + 1) / (len(y) + 2)
     d = x.shape[1] if x.ndim == 2 and len(x) else len(FEATURES)
     model = Additive(float(np.log(rate_1 / (1 - rate_1))), [], [], [], [], [])
@@ -143,47 +176,64 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 30,
     model.edges = [_edges(x[:, j], bins) if len(x) else np.zeros(0, np.float32) for j in range(d)]
     model.coarse = [_edges(x[:, j], 12) if len(x) else np.zeros(0, np.float32) for j in range(d)]
     model.single = [np.zeros(len(e) + 1) for e in model.edges]
-    if len(np.unique(y)) < 2:
-        return model
-    least = max(2.0, 0.0005 * len(y))
-    fine = [np.searchsorted(model.edges[j], x[:, j], "right") for j in range(d)]
-    rough = [np.searchsorted(model.coarse[j], x[:, j], "right") for j in range(d)]
+    least = max(rows, 0.0005 * len(y))
+    place = lambda z, edges: [np.searchsorted(edges[j], z[:, j], "right") for j in range(d)]
+    fine, rough = place(x, model.edges), place(x, model.coarse)
+    size = [np.bincount(fine[j], minlength=len(e) + 1) for j, e in enumerate(model.edges)]
     raw = np.full(len(y), model.base)
+    losses = []
+    if watch is not None:
+        seen, truth = watch
+        seen_fine, seen_rough, seen_raw = place(seen, model.edges), place(seen, model.coarse), np.full(len(truth), model.base)
+
+    def note() -> None:
+        if watch is not None:
+            losses.append(np.mean(np.logaddexp(0, np.where(truth > 0, -seen_raw, seen_raw))))
 
     def slopes() -> tuple[np.ndarray, np.ndarray]:
         p = 1 / (1 + np.exp(-raw))
         return y - p, np.maximum(p * (1 - p), 1e-6)
 
+    note()
     for _ in range(rounds):
         for j in range(d):
             g, h = slopes()
             n = len(model.single[j])
-            step = rate * _tree(np.bincount(fine[j], g, n), np.bincount(fine[j], h, n), 2, least, ridge)
+            step = rate * _tree(np.bincount(fine[j], g, n), np.bincount(fine[j], h, n), size[j], 2, least, ridge)
             model.single[j] += step
             raw += step[fine[j]]
+            if watch is not None:
+                seen_raw += step[seen_fine[j]]
+        note()
 
-    def grid(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    def grid(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         g, h = slopes()
         shape = (len(model.coarse[a]) + 1, len(model.coarse[b]) + 1)
         at = rough[a] * shape[1] + rough[b]
-        return np.bincount(at, g, shape[0] * shape[1]).reshape(shape), np.bincount(at, h, shape[0] * shape[1]).reshape(shape)
+        return tuple(np.bincount(at, w, shape[0] * shape[1]).reshape(shape) for w in (g, h, None))
 
-    gains = sorted(((_tree2(*grid(a, b), least, ridge)[0], a, b) for a in range(d) for b in range(a)), reverse=True)
-    model.pairs = [(a, b) for gain, a, b in gains[:n_pairs] if gain > 0]
-    model.pair = [np.zeros((len(model.coarse[a]) + 1, len(model.coarse[b]) + 1)) for a, b in model.pairs]
+    if pair_rounds:
+        gains = sorted(((_tree2(*grid(a, b), least, ridge)[0], a, b) for a in range(d) for b in range(a)), reverse=True)
+        model.pairs = [(a, b) for gain, a, b in gains[:n_pairs] if gain > 0]
+        model.pair = [np.zeros((len(model.coarse[a]) + 1, len(model.coarse[b]) + 1)) for a, b in model.pairs]
     for _ in range(pair_rounds):
         for k, (a, b) in enumerate(model.pairs):
             step = rate * _tree2(*grid(a, b), least, ridge)[1]
             model.pair[k] += step
             raw += step[rough[a], rough[b]]
-    return model
+            if watch is not None:
+                seen_raw += step[seen_rough[a], seen_rough[b]]
+        note()
+    return model, np.array(losses)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Additive:
     """Fit on at most ``sample`` labelled rows (the bound of what reaches the driver)."""
-    rows = labels.where(allowed & F.col(label).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label).cast("double").alias("y"))
+    bounded_batches(docs.sparkSession)
+    own = F.col(quoted(id_col))
+    rows = labels.where(allowed & F.col(label).isNotNull()).select(own.alias("doc_id"), F.col(label).cast("double").alias("y"))
     chosen = lowest(rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id", sample)
-    joined = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
+    joined = docs.select(own.alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
 
     def run(batches):
         for batch in batches:
@@ -199,15 +249,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sampl
 
 
 def score(docs: DataFrame, model: Additive, keep: list[str], text_col: str = "text", name: str = "quality_score") -> DataFrame:
-    """The columns ``keep`` and the score, row by row."""
+    """The columns ``keep`` and the score, row by row; the score takes the place of a kept column of its name."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    frame = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = frame.drop("_text").withColumn(name, F.lit(0.0)).schema
+    keep = [c for c in keep if c.lower() != name.lower()]
+    frame, at = with_text(docs, keep, text_col)
+    schema = StructType([*frame.schema.fields[: len(keep)], StructField(name, DoubleType())])
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, len(keep)):
-                found = pa.array(sent.value.score(text_features(part.column(len(keep)))), pa.float64())
+            for part in slices(batch, at):
+                found = pa.array(sent.value.score(text_features(part.column(at))), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], found], [*keep, name])
 
     return frame.mapInArrow(run, schema)
