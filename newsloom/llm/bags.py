@@ -6,24 +6,27 @@ and a register, and a register keeps the earliest time among points under the co
 agree in a register with the probability of their weighted Jaccard similarity. Registers are
 banded; bags that share a band are compared exactly by multiset overlap.
 
-Equal bags are one node. In a band's group, nodes are compared with a pivot rather than with one
-another; groups that then still lie in several components take more pivots, in the last round all
-that are left. A pair is left out only if it is linked already, or if it can't be alike: its sizes
-are too far apart, or too little of either bag stands in any other bag at all. No link is lost to a cap.
+Equal bags are one node. In a band's group, nodes are compared with the band's head first, the node
+with the most mates. Where a group then still lies in several components, nodes of different
+components are compared, unless they can't be alike: sizes too far apart, too little that any other
+bag has at all, or too little in common by what each has of the head's shingles (bits, counted
+exactly) and elsewhere. Every bound is exact, so no link is lost to it; nothing is capped.
 
 Texts of one to four words have one shingle of all their words; texts without words are one class.
 Null text counts as empty. Rows without doc_id have no class. Classes are named by their least doc_id.
+Rows of one doc_id with different texts each have their text's class. A very long text is one bag.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from newsloom.llm.components import components
-from newsloom.llm.plan import parts, shuffle_partitions, stored
+from newsloom.llm.plan import bounded_batches, parts, quoted, release, shuffle_partitions, stored
 from newsloom.llm.suffixes import _by_bucket, _in_order, _pack, _unpack, bucket_of, shared_pieces
 from newsloom.llm.words import buffers, mix, slices, word_hashes
 
@@ -31,9 +34,8 @@ SHINGLE = 5
 BANDS, ROWS = 24, 4
 KEY = 52
 CHUNK_BYTES = 2 << 20
-#: Pivots of a group in the second round; the third takes all that are left.
-PIVOTS = 4
-FEW_PAIRS = 100_000
+#: Nodes of a band that one task compares with all of the band.
+PART = 256
 #: Bounds on whole numbers give way by this much, so that rounding drops no pair at ``least`` itself.
 SLACK = 1e-6
 U = np.uint64
@@ -156,14 +158,13 @@ def _unpacked(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(bag, np.uint64, n), np.frombuffer(bag, np.uint32, n, 8 * n)
 
 
-def shared_weight(held: DataFrame, source: DataFrame, text_col: str) -> DataFrame:
-    """node and ``reach``: the part of its bag, by weight, that some other bag could share.
+def shared_parts(held: DataFrame, chunks: int) -> DataFrame:
+    """node, the part of its bag that some other bag could share, and that part's weight, ``reach``.
 
     Bags are dealt to chunks; a chunk sends each shingle's hash once and learns which stand in two
     bags or more. Hashes that meet by chance only raise the reach.
     """
-    n = shuffle_partitions(held.sparkSession)
-    chunks, buckets = (parts(source, CHUNK_BYTES, n, text_col),) * 2
+    buckets = chunks
     rows = held.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(chunks)))
 
     def known(table: pa.Table):
@@ -185,103 +186,145 @@ def shared_weight(held: DataFrame, source: DataFrame, text_col: str) -> DataFram
 
     def add(table: pa.Table, found: pa.Table) -> pa.Table:
         if not len(table):
-            return pa.table({"node": pa.array([], pa.int64()), "reach": pa.array([], pa.int64())})
+            return pa.table({"node": pa.array([], pa.int64()), "reach": pa.array([], pa.int64()), "bag": pa.array([], pa.binary())})
         nodes, bags_, number, *_ = known(table)
         flags = [np.unpackbits(bits, count=int(k[0])).astype(bool) for bits, k in (_unpack(b, np.uint8, np.int64) for b in _in_order(found))]
         shared = np.concatenate(flags)[number] if flags else np.zeros(0, bool)
-        weight = np.concatenate([b[1] for b in bags_]).astype(np.int64) * shared
-        owner = np.repeat(np.arange(len(bags_)), [len(b[0]) for b in bags_])
-        return pa.table({"node": nodes, "reach": pa.array(np.bincount(owner, weight, minlength=len(bags_)).astype(np.int64))})
+        ends = np.cumsum([len(b[0]) for b in bags_])
+        left = [(v[f], c[f]) for (v, c), f in zip(bags_, np.split(shared, ends[:-1]), strict=True)]
+        return pa.table({"node": nodes, "reach": pa.array([int(c.sum()) for _, c in left], pa.int64()), "bag": pa.array([v.tobytes() + c.tobytes() for v, c in left], pa.binary())})
 
     by_chunk = rows.groupBy("chunk")
     flags = by_chunk.applyInArrow(send, "bucket long, chunk long, blob binary").groupBy("bucket").applyInArrow(shared_pieces, "bucket long, chunk long, blob binary")
-    return by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(add, "node long, reach long")
+    return by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(add, "node long, reach long, bag binary")
 
 
-def overlap(a: bytes, b: bytes) -> float:
-    """Weighted Jaccard similarity of two packed bags."""
+def intersection(a: bytes, b: bytes) -> int:
+    """Weight that two packed bags share."""
     (va, ca), (vb, cb) = _unpacked(a), _unpacked(b)
     if not len(va) or not len(vb):
-        return float(len(va) == len(vb))
+        return 0
     at = np.minimum(np.searchsorted(va, vb), len(va) - 1)
     both = va[at] == vb
-    inter = int(np.minimum(ca[at[both]], cb[both]).sum())
-    return inter / (int(ca.sum()) + int(cb.sum()) - inter)
+    return int(np.minimum(ca[at[both]], cb[both]).sum())
+
+
+def overlap(a: bytes, b: bytes) -> float:
+    """Weighted Jaccard similarity of two packed bags."""
+    size = int(_unpacked(a)[1].sum()) + int(_unpacked(b)[1].sum())
+    inter = intersection(a, b)
+    return inter / (size - inter) if size else 1.0
 
 
-def _verify(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose bags are alike enough."""
-    if pairs.count() <= FEW_PAIRS:
-        some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        held = held.join(F.broadcast(some), "node", "left_semi")
-    left = pairs.join(held.withColumnsRenamed({"node": "a", "bag": "bag_a"}), "a")
-    both = left.join(held.withColumnsRenamed({"node": "b", "bag": "bag_b"}), "b").select("a", "b", "bag_a", "bag_b")
+def profile(bag: bytes, core: bytes) -> tuple[np.ndarray, int, int]:
+    """Which of the core's shingles a bag has, as bits of long numbers, its weight there beyond one of each, and its weight elsewhere."""
+    (v, c), (w, _) = _unpacked(bag), _unpacked(core)
+    inside = np.isin(v, w, assume_unique=True)
+    bits = np.zeros(-(-max(len(w), 1) // 64) * 64, dtype=np.uint8)
+    bits[np.searchsorted(w, v[inside])] = 1
+    return np.packbits(bits).view(np.int64), int(c[inside].sum()) - int(inside.sum()), int(c[~inside].sum())
+
+
+def _meet(pairs: DataFrame, held: DataFrame, chunks: int, each, schema: str) -> DataFrame:
+    """Rows of each(a, b, total, bag_a, bag_b), where not None, for pairs (a, b, total).
+
+    Nodes are dealt to chunks. Pairs meet where the chunks of their ends do, and a bag goes there
+    once however many pairs it has there: a task holds the bags of two chunks at most.
+    """
+    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks))
+    dealt = pairs.select(chunk(F.col("a")).alias("low"), chunk(F.col("b")).alias("high"), "a", "b", "total")
+    wanted = dealt.select("low", "high", F.explode(F.array("a", "b")).alias("node")).distinct()
+    none = F.lit(None).cast("long")
+    sent = wanted.hint("merge").join(held, "node").select("low", "high", F.col("node").alias("a"), none.alias("b"), none.alias("total"), "bag")
+    rows = sent.unionByName(dealt.withColumn("bag", F.lit(None).cast("binary")))
+    rows = rows.repartition("low", "high").sortWithinPartitions("low", "high", F.col("b").asc_nulls_first())
+    made = pa.schema([(f.name, pa.list_(pa.int64()) if f.name == "bits" else pa.int64()) for f in StructType.fromDDL(schema)])
 
     def run(batches):
+        place, known = None, {}
         for batch in batches:
-            keep = [overlap(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out = []
+            for low, high, a, b, total, bag in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (low, high) != place:
+                    place, known = (low, high), {}
+                if b is None:
+                    known[a] = bag
+                elif (row := each(a, b, total, known[a], known[b])) is not None:
+                    out.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(made)], schema=made)
 
-    return both.mapInArrow(run, "a long, b long")
+    return rows.select("low", "high", "a", "b", "total", "bag").mapInArrow(run, schema)
 
 
 def classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and class_id, one row for each row of ``docs``."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """doc_id and class_id, one row for each row of ``docs``, repeated ones too; other columns go."""
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    chunks = parts(texts, CHUNK_BYTES, shuffle_partitions(docs.sparkSession))
     sketches = stored(sketch(texts))
     known = sketches.where("doc_id is not null")
     nodes = stored(known.groupBy(F.col("digest_a").alias("node"), "digest_b").agg(F.min("doc_id").alias("first"), F.max("size").alias("size"), F.max("bands").alias("bands")))
     rows = nodes.where("size > 0").select("node", "size", "first", F.explode("bands").alias("band"))
     shared = stored(rows.groupBy("band").agg(F.count("*").alias("mates")).where("mates > 1"))
     members = stored(rows.join(shared, "band"))
-    largest = shared.agg(F.max("mates")).first()[0] or 0
+    release(shared)
     # The node with the most mates over all its bands is likeliest alike to all of a group.
     central = members.groupBy("node").agg(F.sum("mates").alias("weight"))
-    held = texts.join(members.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # One way to join at every size: texts may be of any size, and so may the nodes.
+    held = texts.hint("merge").join(members.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     held = stored(_bag_table(held).dropDuplicates(["node"]))
-    # Bags alike enough share least/(1+least) of both weights together, and only what others have.
-    need = least / (1 + least)
-    central = central.join(shared_weight(held, docs, text_col), "node")
-    members = members.join(central, "node").where(F.col("reach") >= least * F.col("size") - SLACK)
+    able = stored(shared_parts(held, chunks))
+    release(held)
+    held = able.select("node", "bag")
+    every_member = members
+    members = every_member.join(central, "node").join(able.select("node", "reach"), "node").where(F.col("reach") >= least * F.col("size") - SLACK)
     members = stored(members.select("band", "node", "size", "weight", "reach"))
-    everyone = stored(members.select("node").distinct())
-    component_of = everyone.withColumn("component", F.col("node"))
-    edges, tried, per_group = None, None, 1
-    while largest:
-        now = stored(members.join(component_of, "node"))
-        spread = now.groupBy("band", "component").agg(F.count("*").alias("n"))
-        groups = stored(spread.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1"))
-        open_ = now.join(groups, "band")
-        if per_group > 1:
-            open_ = open_.join(nodes.select("node", "bands"), "node")
-        open_ = stored(open_)
-        # Of two components one is not the largest: pivots from the others meet every pair.
-        outside = open_.where((F.col("component") != F.col("most.component")) | (F.col("most.n") == 1))
-        rank = F.row_number().over(Window.partitionBy("band").orderBy(F.col("weight").desc(), "node"))
-        pivots = outside.withColumn("rank", rank).where(F.col("rank") <= per_group) if per_group < largest else outside
-        pivots = stored(pivots.select("band", F.col("node").alias("pivot"), F.col("component").alias("own"), F.col("size").alias("pivot_size"), F.col("reach").alias("pivot_reach"), *([F.col("bands").alias("pivot_bands")] if per_group > 1 else [])))
-        both = need * (F.col("size") + F.col("pivot_size")) - SLACK
-        able = (F.col("component") != F.col("own")) & (F.least("size", "pivot_size") >= least * F.greatest("size", "pivot_size") - SLACK) & (F.least("reach", "pivot_reach") >= both)
-        if per_group > 1:  # a pair that shares several bands is named in the first of them only
-            able &= F.expr("get(filter(bands, (x, i) -> x = pivot_bands[i]), 0) = band")
-        pairs = open_.join(pivots, "band").where(able)
-        pairs = pairs.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        if not pairs.isEmpty():
-            good = stored(_verify(pairs, held, least))
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            if not good.isEmpty():
-                edges = good if edges is None else edges.unionByName(good)
-                found = stored(components(edges))
-                component_of = everyone.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        if per_group >= largest:
-            break
-        per_group = PIVOTS if per_group == 1 else largest
-    named = nodes.select("node", "digest_b", "first")
-    named = (named.join(found, "node", "left") if edges is not None else named.withColumn("component", F.lit(None).cast("long"))).withColumn("component", F.coalesce("component", "node"))
+    release(every_member)
+    heads = stored(members.groupBy("band").agg(F.max_by(F.struct("node", "size", "reach"), F.struct("weight", "node")).alias("head"), F.count("*").alias("mates")))
+    heads = heads.select("band", "mates", F.col("head.node").alias("other"), F.col("head.size").alias("other_size"), F.col("head.reach").alias("other_reach"))
+
+    # Bags alike enough share this part of both weights together, and only what others have.
+    share = least / (1 + least)
+    total = F.col("size") + F.col("other_size")
+    could = (F.least("size", "other_size") >= least * F.greatest("size", "other_size") - SLACK) & (F.least("reach", "other_reach") >= share * total - SLACK)
+    pair = [F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b"), total.alias("total")]
+
+    def alike(a, b, total, bag_a, bag_b):
+        inter = intersection(bag_a, bag_b)
+        return (a, b) if inter / (total - inter) >= least else None
+
+    first = members.join(heads, "band").where((F.col("node") != F.col("other")) & could).select(*pair).distinct()
+    edges = stored(_meet(first, held, chunks, alike, "a long, b long"))
+    found = stored(components(edges))
+
+    # Bands whose nodes lie in several components yet: what a node has of the head's shingles bounds what two of them share.
+    now = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    spread = now.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1")
+    open_ = now.join(spread, "band").join(heads.select("band", "mates", F.col("other").alias("head")), "band").join(nodes.select("node", "bands"), "node")
+    open_ = stored(open_.select("band", "node", "size", "reach", "component", "most", "mates", "head", "bands"))
+
+    def seen(a, b, _, bag_a, bag_b):
+        bits, beyond, outside = profile(bag_a, bag_b)
+        return a, b, bits, beyond, outside
+
+    asked = open_.select(F.col("node").alias("a"), F.col("head").alias("b"), F.lit(0).cast("long").alias("total")).distinct()
+    profiles = _meet(asked, held, chunks, seen, "node long, head long, bits array<long>, beyond long, outside long")
+    sides = stored(open_.join(profiles, ["node", "head"]))
+    # Of two components one is not the largest: nodes outside it meet every pair. A band's are dealt
+    # to parts of about PART, each of which meets the band by itself.
+    split = F.ceil(F.col("mates") / PART)
+    outside = sides.where((F.col("component") != F.col("most.component")) | (F.col("most.n") == 1)).withColumn("part", F.pmod(F.xxhash64("node"), split))
+    outside = outside.select("band", "part", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "reach", "component", "bands", "bits", "beyond", "outside"))).withColumnRenamed("other_node", "other")
+    both = F.expr("aggregate(zip_with(bits, other_bits, (x, y) -> bit_count(x & y)), 0L, (s, x) -> s + x) + least(beyond, other_beyond) + least(outside, other_outside)")
+    # a pair that shares several bands is named in the first of them only
+    once = F.expr("get(filter(bands, (x, i) -> x = other_bands[i]), 0) = band")
+    rest = sides.withColumn("part", F.explode(F.sequence(F.lit(0), split - 1))).join(outside, ["band", "part"])
+    rest = rest.where((F.col("component") != F.col("other_component")) & could & (both >= share * total - SLACK) & once).select(*pair).distinct()
+    more = stored(_meet(rest, held, chunks, alike, "a long, b long"))
+    found = stored(components(edges.unionByName(more)))
+    named = nodes.select("node", "digest_b", "first").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_id = named.groupBy("component").agg(F.min("first").alias("class_id"))
     named = stored(named.join(least_id, "component").select(F.col("node").alias("digest_a"), "digest_b", "class_id"))
+    release(able, members, open_, sides, nodes)
     out = sketches.select("doc_id", "digest_a", "digest_b").join(named, ["digest_a", "digest_b"], "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))

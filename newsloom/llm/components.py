@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.plan import stored
+from newsloom.llm.plan import release, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,5 +33,6 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for every node of the edges (a, b)."""
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while not _is_forest_of_stars(edges):
-        edges = stored(_star(_star(edges, True), False))
+        edges, before = stored(_star(_star(edges, True), False)), edges
+        release(before)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
