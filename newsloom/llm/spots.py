@@ -7,7 +7,8 @@ that differ in words differ. Pairs are found within partitions of set length: al
 length by at most the threshold, and share a signature among the first of a common order.
 
 Null text counts as empty. Rows without doc_id have no next document and follow none. Rows of one
-doc_id are ordered by their text.
+doc_id are ordered by their text, so equal rows have equal results. Ids may be any longs. Other columns
+go; an empty table gives no rows; a single row follows itself. Very long texts are split whole.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.llm.plan import quoted
+
 #: Common words of the languages at hand, which anchor signatures.
 ANCHORS = (
     "the of and to in is that it for on was as with be by are this from at an a he or have not "
@@ -60,7 +63,7 @@ def signed(texts: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).alias("text"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,25 +71,53 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return signed(_texts(docs, id_col, text_col))
 
 
-def with_next(texts: DataFrame, rows: int = 512) -> DataFrame:
+def _quantiles(texts: DataFrame, rows: int, most: int) -> list[int]:
+    """Ids that begin blocks of about ``rows`` rows, the least id first; at most ``most`` of them."""
+    n = texts.agg(F.count("doc_id")).first()[0]
+    blocks = min(max(n // rows, 1), most)
+    if not n:
+        return []
+    shares = [k / blocks for k in range(blocks)]
+    found = texts.where("doc_id is not null").agg(F.min("doc_id"), F.percentile_approx("doc_id", shares, max(10_000, 4 * blocks))).first()
+    # quantiles are found in doubles, so they need not be ids: the least id from each on is one
+    held = texts.where("doc_id is not null").groupBy(_block(sorted({found[0], *found[1]}))).agg(F.min("doc_id"))
+    return sorted(r[1] for r in held.collect())
+
+
+def _longs(values) -> str:
+    """SQL for an array of longs; the least long has no literal of its own."""
+    return "array(" + ", ".join(f"{v}L" if v != -(1 << 63) else "CAST('-9223372036854775808' AS BIGINT)" for v in values) + ")"
+
+
+def _block(firsts: list[int]) -> Column:
+    """The number, from 1, of the block that begins at the last of ``firsts`` not above doc_id.
+
+    Looked up in two steps, so a row costs twice the root of the number of blocks.
+    """
+    width = max(1, int(len(firsts) ** 0.5))
+    groups = [firsts[k : k + width] for k in range(0, len(firsts), width)]
+    at = f"size(filter({_longs(g[0] for g in groups)}, x -> x <= doc_id))"
+    inside = "array(" + ", ".join(_longs(g) for g in groups) + ")"
+    return F.expr(f"({at} - 1) * {width} + size(filter(element_at({inside}, greatest({at}, 1)), x -> x <= doc_id))")
+
+
+def with_next(texts: DataFrame, rows: int = 512, most: int = 1 << 14) -> DataFrame:
     """doc_id, text, signatures, and next_text and next_signatures of the row that follows by doc_id.
 
-    Rows are ordered inside blocks of consecutive ids, which windows put together; only each
-    block's first row goes to the block before, so no task holds more than its blocks.
+    Rows are ordered inside blocks of consecutive ids that hold about ``rows`` rows each wherever
+    the ids lie (more where there would be over ``most`` blocks). A block's first id is an id of
+    the table, so no block is empty; only each block's first row goes to the block before.
     """
-    low, high, n = texts.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
     lone = signed(texts.where("doc_id is null")).withColumn("next", F.lit(None).cast("struct<text:string,signatures:array<int>>"))
-    if n:
-        width = max(1, -(-(high - low + 1) * rows // n))
-        blocks = texts.where("doc_id is not null").withColumn("block", F.floor((F.col("doc_id") - low) / F.lit(width)).cast("long"))
+    if firsts := _quantiles(texts, rows, most):
+        blocks = texts.where("doc_id is not null").withColumn("block", _block(firsts).cast("long"))
         inside = Window.partitionBy("block").orderBy("doc_id", "text")
         chained = signed(blocks).withColumn("next", F.lead(F.struct("text", "signatures")).over(inside))
-        # blocks are few (one for about ``rows`` rows): their order is a window over numbers only
-        numbers = blocks.select("block").distinct()
-        after = F.coalesce(F.lead("block").over(Window.orderBy("block")), F.lit(0))
-        heads = blocks.withColumn("rank", F.row_number().over(inside)).where("rank = 1").drop("rank")
-        heads = signed(heads).select(F.col("block").alias("after"), F.struct("text", "signatures").alias("head"))
-        joined = chained.join(numbers.withColumn("after", after).join(heads, "after").select("block", "head"), "block", "left")
+        begins = texts.sparkSession.range(1).select(F.expr(f"inline(transform({_longs(firsts)}, (x, i) -> struct(x AS doc_id, CAST(pmod(i - 1, {len(firsts)}) + 1 AS BIGINT) AS block)))"))
+        # ``firsts`` bounds what is broadcast; rows that share a first id are told apart by their text
+        heads = texts.join(F.broadcast(begins), "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("rank = 1")
+        heads = signed(heads.select("text", "block")).select("block", F.struct("text", "signatures").alias("head"))
+        joined = chained.join(heads, "block", "left")
         lone = joined.select("doc_id", "text", "signatures", F.coalesce("next", "head").alias("next")).unionByName(lone)
     return lone.select("doc_id", "text", "signatures", F.col("next.text").alias("next_text"), F.col("next.signatures").alias("next_signatures"))
 
