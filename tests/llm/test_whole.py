@@ -42,3 +42,56 @@ def test_every_passage_of_an_interval_has_a_row(spark):
     assert {(r.doc_id, r.source_doc_id) for r in got} == {(2, 1)}
     for low in (0, 90):
         assert any(abs(r.start_word - low) <= 3 and abs(r.end_word - low - 60) <= 3 for r in got), got
+
+
+@pytest.mark.parametrize("replaced", [0.0, 0.1, 0.2, 0.25])
+def test_leaks_with_words_replaced_at_random_in_real_texts(spark, replaced):
+    """40 items, each planted once among 400 documents: at least nine of ten are found, and no other document."""
+    sf_dir = "/root/testdata/sf0.01"
+    rng = random.Random(int(replaced * 100))
+    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(40).collect()]
+    docs = [r.text.split() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 300").orderBy("doc_id").limit(400).collect()]
+    words = [w for d in docs for w in d]
+    asked = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    before = {(r.doc_id, r.item_id) for r in leaks.leaks(spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string"), asked).collect()}
+    for i, item in enumerate(items):
+        own = item.split()
+        for k in rng.sample(range(len(own)), round(replaced * len(own))):
+            own[k] = rng.choice(words)
+        at = rng.randrange(len(docs[10 * i]))
+        docs[10 * i][at:at] = own
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string"), asked).collect()}
+    want = {(10 * i, i) for i in range(len(items))}
+    assert len(want & got) >= 0.9 * len(want), f"{len(want & got)} of {len(want)}"
+    assert got <= want | before
+
+
+def test_leaks_match_a_search_of_every_passage(spark):
+    """Random texts with parts of items in them, against all places of all documents by their definition."""
+    rng = random.Random(8)
+    common = [f"c{k}" for k in range(200)]
+    items = {i: [rng.choice(common) if rng.random() < 0.4 else f"r{i}x{k}" for k in range(24)] for i in range(30)}
+    rows = []
+    for d in range(150):
+        own = list(items[rng.randrange(30)])
+        for k in rng.sample(range(24), rng.randrange(13)):
+            own[k] = rng.choice(common)
+        rows.append((d, [*rng.choices(common, k=rng.randrange(30)), *own, *rng.choices(common, k=30)]))
+    step, hashes = leaks.STEP, sorted({leaks.word_hashes(*leaks.buffers(leaks.pa.array([w])))[0][0] for x in items.values() for w in x})
+    number = {w: hashes.index(leaks.word_hashes(*leaks.buffers(leaks.pa.array([w])))[0][0]) for x in items.values() for w in x}
+    answers = leaks.answer_words([[number[w] for w in items[i]] for i in range(30)], hashes)
+    want = {}
+    for d, words in rows:
+        blocks = -(-len(words) // step)
+        for i, item in items.items():
+            span = max(2, -(-len(item) // step) + (len(item) > step))
+            for b in range(blocks):
+                region = [number.get(w, -1) for w in words[max(b - 1, 0) * step : (b + span + 1) * step]]
+                if sum(w in region for w in answers[i]) >= leaks.ANSWER_LEAST * len(answers[i]):
+                    share = leaks.common_subsequence([number[w] for w in item], region) / len(item)
+                    if share >= leaks.COVER:
+                        want[d, i] = max(share, want.get((d, i), 0))
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.covered for r in leaks.leaks(docs, asked).collect()}
+    assert got == pytest.approx(want) and len(want) > 50
