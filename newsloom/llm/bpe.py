@@ -1,13 +1,15 @@
 """Byte-level BPE by a lazily determinised finite-state transducer, and its streaming decoder.
 
 Every prefix of a piece has exactly one valid tokenisation, and a sequence of tokens is valid when
-each neighbouring pair is what the merges give for the pair's own bytes. The transducer's node holds
-the bytes that may still begin a longer token; its registers hold the last token at each place where
-that token may start. What the tokenisations at all these places agree on is final and is emitted,
-so lookahead is bounded by the longest token. Nodes, transitions and pair checks are made when
-first met and reused afterwards.
-
-Null text counts as empty and gives no tokens; every other column passes through or is dropped by name.
+each neighbouring pair is what the merges give for the pair's own bytes. A state holds the bytes that
+may still begin a longer token; registers hold the last token at each place. What the tokenisations
+at all places where a longer token may start agree on is final: it is emitted and its registers are
+dropped, so lookahead is bounded by the longest token and memory by that and EVERY. States,
+transitions and pair checks are made when first met and reused afterwards; what a frequent whole
+chunk or piece makes from the start state is kept as one transition.
+
+Null text counts as empty and gives no tokens. One row in gives one row out, repeated rows, rows without
+id and very long texts included; columns other than the id and the text go. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,9 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.plan import bounded_batches, quoted
+
 MAX_VOCABULARY_BYTES = 64 << 20
-PAIRS = 1_000_000
-ENTRIES = 600_000
+#: Bounds of what one worker keeps: pair checks, and whole pieces or chunks; no result depends on them.
+PAIRS, ENTRIES = 300_000, 400_000
+#: Bytes between two looks at what is final.
+EVERY = 64
 #: How a pattern must end for its matches to start anew at a lone space.
 SPACED = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ADJACENT = re.compile(r"\s | \s|^ | $|[\x1c-\x1f]")
@@ -35,17 +43,19 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
 
 
-class Node:
-    """Bytes that may begin a longer token, and for each next byte the tokens that can end there."""
+class State:
+    """Bytes that may begin a longer token, how far before their end one may start, and for each next
+    byte met the tokens (size, id) that can end there, longest first, and the next state."""
 
-    __slots__ = ("tail", "step")
+    __slots__ = ("tail", "starts", "step")
 
-    def __init__(self, tail: bytes):
+    def __init__(self, tail: bytes, prefixes: set[bytes]):
         self.tail, self.step = tail, {}
+        self.starts = [len(tail) - k for k in range(len(tail) + 1) if k == len(tail) or tail[k:] in prefixes]
 
 
 class Transducer:
-    """Bytes to token ids. ``encode`` takes one whole piece; ``stream`` takes it in parts."""
+    """Bytes to token ids, for one piece, whole or in parts."""
 
     START = -1
 
@@ -55,11 +65,11 @@ class Transducer:
         self.prefixes = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
-        self.nodes: dict[bytes, Node] = {}
-        self.start = self.node(b"")
+        self.states: dict[bytes, State] = {}
+        self.start = self.state(b"")
 
-    def node(self, tail: bytes) -> Node:
-        return self.nodes.get(tail) or self.nodes.setdefault(tail, Node(tail))
+    def state(self, tail: bytes) -> State:
+        return self.states.get(tail) or self.states.setdefault(tail, State(tail, self.prefixes))
 
     def merge(self, data: bytes) -> list[int]:
         """The merges applied one at a time, lowest rank first: the definition, used for pairs."""
@@ -84,15 +94,17 @@ class Transducer:
 
     def valid(self, left: int, right: int) -> bool:
         """Whether the merges leave these two tokens apart when they stand together."""
-        if len(self.pairs) > PAIRS:
-            self.pairs.clear()
-        known = left == self.START or self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-        self.pairs[left, right] = known
+        known = self.pairs.get((left, right))
+        if known is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            known = left == self.START or self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            self.pairs[left, right] = known
         return known
 
-    def ends(self, node: Node, byte: int) -> tuple[tuple[tuple[int, int], ...], Node]:
-        """Tokens (size, id) that can end at this byte, longest first, and the next node."""
-        text = node.tail + bytes((byte,))
+    def ends(self, state: State, byte: int) -> tuple[tuple[tuple[int, int], ...], State]:
+        """The transition at a byte: tokens that can end there and the next state."""
+        text = state.tail + bytes((byte,))
         found = []
         for size in range(len(text), 0, -1):
             token = self.ranks.get(text[-size:])
@@ -100,43 +112,57 @@ class Transducer:
                 found.append((size, token))
         while text and text not in self.prefixes:
             text = text[1:]
-        step = node.step[byte] = (tuple(found), self.node(text))
+        step = state.step[byte] = (tuple(found), self.state(text))
         return step
 
-    def encode(self, data: bytes) -> list[int]:
-        node, lasts, sizes, pairs = self.start, [self.START], [], self.pairs
-        for byte in data:
-            candidates, node = node.step.get(byte) or self.ends(node, byte)
-            for size, token in candidates:
-                left = lasts[-size]
-                known = pairs.get((left, token))
-                if known or known is None and self.valid(left, token):
-                    lasts.append(token)
-                    sizes.append(size)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a single byte")
-        out, at = [], len(sizes)
+    @staticmethod
+    def path(tokens: list[int], sizes: list[int], at: int) -> list[int]:
+        """The tokens of the tokenisation that ends at a place."""
+        out = []
         while at:
-            out.append(lasts[at])
-            at -= sizes[at - 1]
+            out.append(tokens[at])
+            at -= sizes[at]
         return out[::-1]
 
-    def stream(self, parts: Iterable[bytes]) -> Iterator[int]:
-        """Tokens of one piece that arrives in parts, each as soon as no later byte can change it."""
-        node, lasts, paths = self.start, [self.START], [()]
-        for byte in (byte for data in parts for byte in data):
-            candidates, node = node.step.get(byte) or self.ends(node, byte)
-            size, token = next((s, t) for s, t in candidates if self.pairs.get((lasts[-s], t)) or self.valid(lasts[-s], t))
-            keep = len(node.tail) + 1
-            lasts, paths = [*lasts, token][-keep:], [*paths, (*paths[-size], token)][-keep:]
-            agreed, shortest = 0, min(map(len, paths))
-            while agreed < shortest and len({p[agreed] for p in paths}) == 1:
-                agreed += 1
-            if agreed:
-                yield from paths[0][:agreed]
-                paths = [p[agreed:] for p in paths]
-        yield from paths[-1]
+    def final(self, state: State, tokens: list[int], sizes: list[int]) -> list[int]:
+        """The tokens that no later byte can change, whose registers are dropped."""
+        live = {len(tokens) - 1 - back for back in state.starts}
+        while len(live) > 1:
+            last = max(live)
+            live.remove(last)
+            live.add(last - sizes[last])
+        (place,) = live
+        out = self.path(tokens, sizes, place)
+        del tokens[:place], sizes[:place]
+        return out
+
+    def stream(self, parts: Iterable[bytes], every: int = 1) -> Iterator[list[int]]:
+        """Tokens of one piece that arrives in parts, each once no later byte can change it, looked at
+        every so many bytes, and the rest at the end."""
+        state, pairs = self.start, self.pairs
+        tokens, sizes, due = [self.START], [0], every  # the registers: at each place, the token that ends there
+        for data in parts:
+            for byte in data:
+                try:
+                    found, state = state.step[byte]
+                except KeyError:
+                    found, state = self.ends(state, byte)
+                for size, token in found:
+                    left = tokens[-size]
+                    known = pairs.get((left, token))
+                    if known or known is None and self.valid(left, token):
+                        tokens.append(token)
+                        sizes.append(size)
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a single byte")
+                if len(tokens) > due:
+                    yield self.final(state, tokens, sizes)
+                    due = len(tokens) + every - 1
+        yield self.path(tokens, sizes, len(tokens) - 1)
+
+    def encode(self, data: bytes) -> list[int]:
+        return [token for out in self.stream((data,), EVERY) for token in out]
 
 
 class Packed(dict):
@@ -184,12 +210,23 @@ class Codec:
         ranks = read_ranks(content)
         self.pattern = regex.compile(pattern)
         self.transducer = Transducer(ranks)
-        self.pieces = Packed(lambda piece: np.array(self.transducer.encode(piece.encode()), dtype="<u4").tobytes())
-        self.chunks = Packed(lambda chunk: b"".join(map(self.pieces.__getitem__, self.pattern.findall(chunk))))
+        self.pieces = Packed(self.piece)
+        self.chunks = Packed(self.chunk)
         head = pattern.removesuffix(SPACED)
         self.by_chunk = head != pattern and regex.fullmatch(r"\|?('[a-z]+\|?)*", head) is not None
         self.vocabulary = {v: k for k, v in ranks.items()}
 
+    def piece(self, piece: str) -> bytes:
+        ids = array("I", self.transducer.encode(piece.encode()))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        found = self.pattern.findall(chunk)
+        # a chunk that is one piece is kept once
+        return self.piece(chunk) if len(found) == 1 else b"".join(map(self.pieces.__getitem__, found))
+
     def encode_packed(self, text: str) -> bytes:
         """Where every space stands alone between other characters, no match runs past the end of a
         chunk that a space begins, so chunks are matched apart and found again; else the whole text."""
@@ -237,6 +274,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     One row in, one row out, repeated rows included. The text is decoded again from its ids.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches):
@@ -264,4 +302,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, n_tokens long, " + "token_ids array<int>, " * ids + "ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, schema)

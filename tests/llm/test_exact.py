@@ -126,9 +126,17 @@ def test_transducer_streams(reference):
                 given.append(k)
                 yield data[k : k + 1]
 
-        early = next(codec.transducer.stream(parts()))
-        assert early == codec.transducer.encode(data)[0]
-        assert list(codec.transducer.stream([data[:3], data[3:]])) == codec.transducer.encode(data)
+        emitted = []
+        for out in codec.transducer.stream(parts()):
+            emitted += out
+            assert emitted == codec.transducer.encode(data)[: len(emitted)]
+            # what is not out yet starts no longer token than the vocabulary has
+            done = sum(len(codec.transducer.bytes_of[t]) for t in emitted)
+            assert len(given) - done <= 2 * max(map(len, codec.transducer.ranks))
+        assert emitted == codec.transducer.encode(data)
+        assert [t for out in codec.transducer.stream([data[:3], data[3:]], 5) for t in out] == emitted
+    long = "abcdefgh" * 4000
+    assert codec.transducer.encode(long.encode()) == reference.encode_ordinary(long)
 
 
 def test_utf8_machine_waits_for_the_rest():
