@@ -36,17 +36,20 @@ def block_score(text: Column, links: Column, profile: dict, terms: dict = fixed.
 def category(text: Column, profile: dict, terms: dict = fixed.CATEGORY_TERMS, priority: tuple = fixed.CATEGORY_PRIORITY, fallback: str = fixed.FALLBACK_CATEGORY) -> Column:
     """struct(id, label) of the best category; earlier ones win ties."""
     weights = {w["id"]: w for w in profile["weights"]}
-    options = []
-    for place, name in enumerate(p for p in priority if p in weights and p in terms):
-        count = count_matches(text, terms[name])
-        bonus = weights[name]["value"] * 3 + 3 * (weights[name]["label"] in profile["pinnedCategories"])
-        options.append(F.when(count > 0, F.struct((count * 10 + bonus).alias("score"), F.lit(-place).alias("place"), F.lit(name).alias("id"), F.lit(weights[name]["label"]).alias("label"))))
     other = weights.get(fallback, profile["weights"][0])
     none = F.struct(F.lit(other["id"]).alias("id"), F.lit(other["label"]).alias("label"))
-    if not options:
+    names = [p for p in priority if p in weights and p in terms]
+    if not names:
         return none
-    best = F.array_max(F.array(*options))
-    return F.when(best.isNotNull(), F.struct(best["id"].alias("id"), best["label"].alias("label"))).otherwise(none)
+    # each pattern is counted once: what the counts are used for takes them as a lambda's variable
+    counts = F.array(*(count_matches(text, terms[name]) for name in names))
+
+    def option(k: int, name: str, n: Column) -> Column:
+        bonus = weights[name]["value"] * 3 + 3 * (weights[name]["label"] in profile["pinnedCategories"])
+        return F.when(n > 0, F.struct((n * 10 + bonus).alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("id"), F.lit(weights[name]["label"]).alias("label")))
+
+    best = F.transform(F.array(counts), lambda c: F.array_max(F.array(*(option(k, name, c[k]) for k, name in enumerate(names)))))
+    return F.transform(best, lambda x: F.when(x.isNotNull(), F.struct(x["id"].alias("id"), x["label"].alias("label"))).otherwise(none))[0]
 
 
 def set_similarity(left: Column, right: Column) -> Column:
