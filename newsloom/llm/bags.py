@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 from newsloom.llm.components import components
 from newsloom.llm.plan import bounded_batches, parts, quoted, release, shuffle_partitions, stored
 from newsloom.llm.suffixes import _by_bucket, _in_order, _pack, _unpack, bucket_of, shared_pieces
-from newsloom.llm.words import buffers, mix, slices, word_hashes
+from newsloom.llm.words import buffers, give_back, mix, slices, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 24, 4
@@ -135,7 +135,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(found.ravel()))
                     yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, _digests(doc, value, count, n)), pa.array(size), lists], ["doc_id", "digest_a", "digest_b", "size", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, digest_a long, digest_b long, size long, bands array<long>")
+    return docs.mapInArrow(lambda batches: give_back(run(batches)), "doc_id long, digest_a long, digest_b long, size long, bands array<long>")
 
 
 def _bag_table(docs: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def _bag_table(docs: DataFrame) -> DataFrame:
                     blobs = [value[a:b].tobytes() + count[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(_digests(doc, value, count, n)[0]), pa.array(blobs, pa.binary())], ["node", "bag"])
 
-    return docs.mapInArrow(run, "node long, bag binary")
+    return docs.mapInArrow(lambda batches: give_back(run(batches)), "node long, bag binary")
 
 
 def _unpacked(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +253,7 @@ def _meet(pairs: DataFrame, held: DataFrame, chunks: int, each, schema: str) ->
                     out.append(row)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(made)], schema=made)
 
-    return rows.select("low", "high", "a", "b", "total", "bag").mapInArrow(run, schema)
+    return rows.select("low", "high", "a", "b", "total", "bag").mapInArrow(lambda batches: give_back(run(batches)), schema)
 
 
 def classes(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.plan import bounded_batches, quoted
+from newsloom.llm.words import give_back
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Bounds of what one worker keeps: pair checks, and whole pieces or chunks; no result depends on them.
@@ -302,4 +303,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, n_tokens long, " + "token_ids array<int>, " * ids + "ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(lambda batches: give_back(run(batches)), schema)

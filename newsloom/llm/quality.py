@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from newsloom.llm.plan import bounded_batches, quoted, with_text
 from newsloom.llm.sampling import lowest
-from newsloom.llm.words import buffers, slices, word_hashes
+from newsloom.llm.words import buffers, give_back, slices, word_hashes
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "short_words", "long_words", "upper", "digits", "stops",
@@ -241,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sampl
                 x = text_features(part.column(1))
                 yield pa.RecordBatch.from_pydict({"y": part.column(0), "x": pa.array(list(x), pa.list_(pa.float32()))})
 
-    table = joined.mapInArrow(run, "y double, x array<float>").toArrow()
+    table = joined.mapInArrow(lambda batches: give_back(run(batches)), "y double, x array<float>").toArrow()
     order = np.argsort([str(v) for v in zip(table["y"].to_pylist(), table["x"].to_pylist(), strict=True)], kind="stable")
     y = table["y"].to_numpy()[order] if len(table) else np.zeros(0)
     x = np.array(table["x"].to_pylist(), dtype=np.float32).reshape(-1, len(FEATURES))[order]
@@ -261,4 +261,4 @@ def score(docs: DataFrame, model: Additive, keep: list[str], text_col: str = "te
                 found = pa.array(sent.value.score(text_features(part.column(at))), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], found], [*keep, name])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(lambda batches: give_back(run(batches)), schema)

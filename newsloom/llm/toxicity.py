@@ -23,7 +23,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from newsloom.llm.plan import bounded_batches, quoted, with_text
 from newsloom.llm.sampling import lowest
-from newsloom.llm.words import buffers, mix, slices, word_hashes
+from newsloom.llm.words import buffers, give_back, mix, slices, word_hashes
 
 #: Models made one after another, each with words chosen against the texts its predecessor does not call positive.
 PASSES = 2
@@ -120,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, posit
                 yield pa.RecordBatch.from_pydict({"word": pa.array(words[0].view(np.int64)), "n": pa.array(words[1])})
 
     # words in two positives or more, of which a bounded number of texts has a bounded number
-    table = joined.where("positive").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    table = joined.where("positive").mapInArrow(lambda batches: give_back(count(batches)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
     known = np.sort(table["word"].to_numpy().view(np.uint64))
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, posit
                 cut = pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32())
                 yield pa.RecordBatch.from_pydict({"positive": part.column(0), "x": pa.ListArray.from_arrays(cut, pa.array(place, pa.int32()))})
 
-    found = joined.mapInArrow(gather, "positive boolean, x array<int>").toArrow()
+    found = joined.mapInArrow(lambda batches: give_back(gather(batches)), "positive boolean, x array<int>").toArrow()
     positive = found["positive"].to_numpy().astype(bool)
     lists = found["x"].combine_chunks()
     # in an order that does not depend on how rows were dealt to tasks
@@ -175,4 +175,4 @@ def score(docs: DataFrame, model: Linear, keep: list[str], text_col: str = "text
                 found = pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], found], [*keep, name])
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(lambda batches: give_back(run(batches)), schema)

@@ -7,6 +7,8 @@ A word's hash is a polynomial over its bytes modulo 2**64, finished with an aval
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
 
 import numpy as np
@@ -156,3 +158,17 @@ def slices(batch: pa.RecordBatch, text: int, size: int = 1 << 20):
     starts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(column)]))
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         yield batch.slice(int(a), int(b - a))
+
+
+@functools.cache
+def _trim():
+    """The C library's call that gives freed memory back, where there is one."""
+    with contextlib.suppress(OSError, AttributeError):
+        return ctypes.CDLL(None).malloc_trim
+    return lambda _: None
+
+
+def give_back(made):
+    """What a task makes, after which the worker, which waits for further tasks, keeps no freed memory."""
+    yield from made
+    _trim()(0)

@@ -95,3 +95,45 @@ def test_leaks_match_a_search_of_every_passage(spark):
     asked = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.covered for r in leaks.leaks(docs, asked).collect()}
     assert got == pytest.approx(want) and len(want) > 50
+
+
+def test_a_whole_passage_after_two_holders_of_its_parts(spark):
+    """Documents 1 and 2 hold words 0-33 and 26-59 of a passage, 3 and 4 all of it."""
+    words = numbered("p", 60).split()
+    rows = [(1, words[:34]), (2, words[26:]), (3, words), (4, words)]
+    found = 0
+    for salt in range(5):
+        own = [(i, " ".join([*numbered(f"a{salt}x{i}", 50).split(), *(f"{salt}{w}" for w in w_), *numbered(f"b{salt}x{i}", 50).split()])) for i, w_ in rows]
+        got = passages.repeats(spark.createDataFrame(own, "doc_id long, text string")).collect()
+        found += any((r.doc_id, r.source_doc_id) == (4, 3) and r.start_word <= 53 and r.end_word >= 107 for r in got)
+    assert found == 5
+
+
+def test_passages_against_brute_force(spark):
+    """40 passages of 60 to 120 words in four documents each, with up to three words changed: of all documents
+    with a stretch that is 0.8 alike to an earlier document's, by its own tokens, at least nine of ten are found."""
+    rng = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(5000)]
+    held, rows = {}, []
+    for p in range(40):
+        words = rng.choices(vocabulary, k=rng.randrange(60, 121))
+        for copy in range(4):
+            own = list(words)
+            for k in rng.sample(range(len(own)), rng.randrange(4)):
+                own[k] = rng.choice(vocabulary)
+            before = rng.choices(vocabulary, k=rng.randrange(20, 80))
+            held[len(rows)] = (p, len(before), own)
+            rows.append((len(rows), " ".join([*before, *own, *rng.choices(vocabulary, k=rng.randrange(20, 80))])))
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    want = set()
+    for i, (p, _, a) in held.items():
+        for j, (q, _, b) in held.items():
+            x, y = shingles(a), shingles(b)
+            if j < i and p == q and len(x & y) >= 0.8 * len(x | y):
+                want.add(i)
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    got = passages.repeats(spark.createDataFrame([rows[i] for i in order], "doc_id long, text string")).collect()
+    right = {r.doc_id for r in got if held[r.doc_id][0] == held[r.source_doc_id][0] and r.start_word < held[r.doc_id][1] + len(held[r.doc_id][2]) and r.end_word > held[r.doc_id][1]}
+    assert len(want & right) >= 0.98 * len(want) and len(want) > 60
+    assert all(held[r.doc_id][0] == held[r.source_doc_id][0] for r in got)
