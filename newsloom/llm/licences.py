@@ -1,12 +1,15 @@
 """License scans by a positional rare-token index, in SQL functions only.
 
-Each template keeps its words of highest inverse document frequency, counted over all texts, with
-their places. A text's places of those words give places where the template would begin; where two
-or more rare words agree on one, the words there are compared with the template's, and the label
-stands if enough are the same and the text has the template's key phrase.
+A posting table names, for each template's words of highest inverse document frequency, counted over
+all texts, the templates that have the word and its place there. A text's words are looked up in it;
+each posting gives a place where its template would begin. Where two or more postings agree on one,
+the words there are compared with the template's, and the label stands if enough are the same and the
+text has the template's key phrase, which is looked up by its first word.
 
 Null text counts as empty: no words, no labels, score 0. Rows are answered one by one, repeated
-rows and clashing column names included; only ``keep`` columns pass through.
+rows and clashing column names included; only ``keep`` columns pass through. An empty table gives no
+rows. Very long texts are looked up whole. Places that tie all count; of equal frequencies the word
+that comes first in the alphabet is rarer.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.plan import quoted
+
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,6 +40,8 @@ TEMPLATES = (
 )
 RARE = 4
 LEAST = 0.7
+#: Columns that ``scan`` adds.
+MADE = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def words(text: Column) -> Column:
@@ -62,50 +69,64 @@ def rare_words(seen: dict[str, int]) -> list[list[tuple[str, int]]]:
     return out
 
 
+def _templates() -> str:
+    """SQL for the templates' labels and words, in order."""
+    return "array(" + ", ".join(f"named_struct('label', '{label}', 'words', {_array(notice.split())})" for label, notice, _ in TEMPLATES) + ")"
+
+
+def _postings(entries: dict[str, list[str]]) -> str:
+    """SQL for a map from words to arrays of what stands under them."""
+    return "map(" + ", ".join(f"'{w}', array({', '.join(found)})" for w, found in sorted(entries.items())) + ")"
+
+
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` with n_words, n_base, first_word, last_word, base_labels, labels and score."""
+    """``keep`` with n_words, n_base, first_word, last_word, base_labels, labels and score; made columns take the place of kept ones."""
+    keep = [c for c in keep if c.lower() not in MADE]
     held = [f"_k{i}" for i in range(len(keep))]
-    tokens = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, held, strict=True)), words(F.col(text_col)).alias("words"))
+    tokens = docs.select(*(F.col(quoted(c)).alias(k) for c, k in zip(keep, held, strict=True)), words(F.col(quoted(text_col))).alias("words"))
     vocabulary = sorted({w for _, notice, _ in TEMPLATES for w in notice.split()})
     rare = rare_words(document_frequencies(tokens, vocabulary))
-    every = sorted({w for found in rare for w, _ in found})
-
-    def places(phrase: str) -> str:
-        first, *rest = phrase.split()
-        tests = " AND ".join([f"x.w = '{first}'"] + [f"get(words, x.i + {k}) = '{w}'" for k, w in enumerate(rest, 1)])
-        return f"transform(filter(marks, x -> {tests}), x -> x.i)"
-
-    heads = sorted({p.split()[0] for p in BASE} | {k.split()[0] for *_, k in TEMPLATES})
-    marked = tokens.withColumn(
-        "marks",
-        F.expr(f"""CASE WHEN arrays_overlap(words, {_array(sorted({*every, *(p.split()[-1] for p in BASE)}))})
-          THEN filter(transform(words, (w, i) -> struct(w AS w, i AS i)), x -> array_contains({_array(sorted({*every, *heads}))}, x.w)) ELSE array() END"""),
+    # word -> (template, place of the word in it), for the words of highest inverse document frequency
+    index: dict[str, list[str]] = {}
+    for t, found in enumerate(rare):
+        for w, i in found:
+            index.setdefault(w, []).append(f"named_struct('t', {t}, 'i', {i})")
+    # first word -> phrases: base ones by their label, key phrases by their template
+    phrases: dict[str, list[str]] = {}
+    for phrase, t, label in [*((p, -1, label) for p, label in BASE.items()), *((key, t, "") for t, (_, _, key) in enumerate(TEMPLATES))]:
+        phrases.setdefault(phrase.split()[0], []).append(f"named_struct('t', {t}, 'label', '{label}', 'words', {_array(phrase.split())})")
+    marks = f"""CASE WHEN arrays_overlap(words, {_array(sorted({*index, *(p.split()[-1] for p in BASE)}))})
+      THEN filter(transform(words, (w, i) -> struct(w AS w, i AS i)), x -> array_contains({_array(sorted({*index, *phrases}))}, x.w)) ELSE array() END"""
+    looked_up = f"""flatten(transform(filter(marks, x -> array_contains({_array(sorted(phrases))}, x.w)),
+      x -> transform(filter(element_at({_postings(phrases)}, x.w), p -> slice(words, x.i + 1, size(p.words)) = p.words), p -> struct(p.t AS t, p.label AS label, x.i AS i))))"""
+    begins = f"""array_sort(flatten(transform(filter(marks, x -> array_contains({_array(sorted(index))}, x.w)),
+      x -> transform(element_at({_postings(index)}, x.w), p -> struct(p.t AS t, x.i - p.i AS s)))))"""
+    # a begin named twice stands beside itself once sorted; one of each run is kept, where the key phrase is there
+    agreed = "filter(begins, (b, k) -> b = get(begins, k + 1) AND NOT coalesce(b = get(begins, k - 1), false) AND array_contains(keys, b.t))"
+    hits = f"""filter(transform(transform({agreed}, b -> struct(element_at({_templates()}, b.t + 1) AS m, b.s AS s)),
+      b -> struct(b.m.label AS label, size(filter(b.m.words, (w, i) -> b.s + i >= 0 AND get(words, b.s + i) = w)) / CAST(size(b.m.words) AS DOUBLE) AS share)), h -> h.share >= {LEAST}D)"""
+    steps = (
+        ("marks", marks),
+        ("phrases", looked_up),
+        ("base", "filter(phrases, p -> p.t < 0)"),
+        ("keys", "array_distinct(transform(filter(phrases, p -> p.t >= 0), p -> p.t))"),
+        ("begins", f"CASE WHEN size(keys) > 0 THEN {begins} ELSE array() END"),
+        ("hits", hits),
     )
-    based = marked
-    for k, phrase in enumerate(BASE):
-        based = based.withColumn(f"base_{k}", F.expr(places(phrase)))
-    based = based.withColumn("base", F.concat(*(f"base_{k}" for k in range(len(BASE)))))
-    for k, ((_, notice, key), found) in enumerate(zip(TEMPLATES, rare, strict=True)):
-        split = notice.split()
-        offsets = "map(" + ", ".join(f"'{w}', {i}" for w, i in found) + ")"
-        begins = f"transform(filter(marks, x -> array_contains({_array(w for w, _ in found)}, x.w)), x -> x.i - element_at({offsets}, x.w))"
-        based = based.withColumn(f"begin_{k}", F.expr(f"CASE WHEN size(marks) > 1 THEN {begins} ELSE array() END"))
-        agreed = f"filter(array_distinct(begin_{k}), s -> size(filter(begin_{k}, t -> t = s)) >= 2)"
-        same = f"size(filter({_array(split)}, (w, i) -> s + i >= 0 AND get(words, s + i) = w))"
-        based = based.withColumn(f"share_{k}", F.expr(f"CASE WHEN size(begin_{k}) > 1 AND size({places(key)}) > 0 THEN coalesce(array_max(transform({agreed}, s -> {same})), 0) / {len(split)}D ELSE 0D END"))
-    base_labels = [F.when(F.size(f"base_{k}") > 0, F.lit(label)) for k, label in enumerate(BASE.values())]
-    labels = [F.when(F.col(f"share_{k}") >= LEAST, F.lit(t[0])) for k, t in enumerate(TEMPLATES)]
-    text = lambda found: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))), ",")
-    shares = [F.when(F.col(f"share_{k}") >= LEAST, F.col(f"share_{k}")).otherwise(0.0) for k in range(len(TEMPLATES))]
-    return based.select(
+    found = tokens
+    for name, sql in steps:
+        found = found.withColumn(name, F.expr(sql))
+    joined = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
+    base = F.expr("transform(base, p -> p.label)")
+    return found.select(
         *(F.col(k).alias(c) for c, k in zip(keep, held, strict=True)),
         F.size("words").cast("long").alias("n_words"),
         F.size("base").cast("long").alias("n_base"),
-        F.array_min("base").cast("long").alias("first_word"),
-        F.array_max("base").cast("long").alias("last_word"),
-        text(base_labels).alias("base_labels"),
-        text([*base_labels, *labels]).alias("labels"),
-        F.greatest(F.when(F.size("base") > 0, 1.0).otherwise(0.0), *shares).alias("score"),
+        F.expr("array_min(transform(base, p -> p.i))").cast("long").alias("first_word"),
+        F.expr("array_max(transform(base, p -> p.i))").cast("long").alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, F.expr("transform(hits, h -> h.label)"))).alias("labels"),
+        F.greatest(F.when(F.size("base") > 0, 1.0).otherwise(0.0), F.coalesce(F.expr("array_max(transform(hits, h -> h.share))"), F.lit(0.0))).alias("score"),
     )
 
 
