@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.plan import bounded_batches, quoted
-from newsloom.llm.words import give_back
+from newsloom.llm.words import HELD, give_back
 
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Bounds of what one worker keeps: pair checks, and whole pieces or chunks; no result depends on them.
-PAIRS, ENTRIES = 300_000, 400_000
+#: Bounds of what one worker keeps: pair checks, whole chunks, and pieces of chunks; no result depends on them.
+PAIRS, CHUNKS, PIECES = 400_000, 300_000, 60_000
 #: Bytes between two looks at what is final.
 EVERY = 64
 #: How a pattern must end for its matches to start anew at a lone space.
@@ -169,13 +169,13 @@ class Transducer:
 class Packed(dict):
     """Text to its ids as little-endian 32-bit integers; entries are kept up to a bound."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, text: str) -> bytes:
         out = self.make(text)
-        if len(self) < ENTRIES and len(text) <= 64:
+        if len(self) < self.most and len(text) <= 64:
             self[text] = out
         return out
 
@@ -211,8 +211,8 @@ class Codec:
         ranks = read_ranks(content)
         self.pattern = regex.compile(pattern)
         self.transducer = Transducer(ranks)
-        self.pieces = Packed(self.piece)
-        self.chunks = Packed(self.chunk)
+        self.pieces = Packed(self.piece, PIECES)
+        self.chunks = Packed(self.chunk, CHUNKS)
         head = pattern.removesuffix(SPACED)
         self.by_chunk = head != pattern and regex.fullmatch(r"\|?('[a-z]+\|?)*", head) is not None
         self.vocabulary = {v: k for k, v in ranks.items()}
@@ -250,7 +250,7 @@ class Codec:
         yield machine.feed(b"", last=True)
 
 
-_codecs: dict[tuple[bytes, str], Codec] = {}
+_codecs: dict[tuple[bytes, str], Codec] = HELD.setdefault("bpe", {})
 
 
 def codec(content: bytes, pattern: str) -> Codec:
@@ -303,4 +303,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, n_tokens long, " + "token_ids array<int>, " * ids + "ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(lambda batches: give_back(run(batches)), schema)
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(lambda batches: give_back(run(batches), "bpe"), schema)

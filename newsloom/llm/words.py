@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -168,7 +169,17 @@ def _trim():
     return lambda _: None
 
 
-def give_back(made):
-    """What a task makes, after which the worker, which waits for further tasks, keeps no freed memory."""
+#: What operators keep in a worker from task to task, by the operator's name.
+HELD: dict[str, dict] = {}
+
+
+def give_back(made, keep: str = ""):
+    """What a task makes. The worker, which waits for further tasks, keeps no freed memory after it,
+    and nothing that other operators' tasks have left there."""
+    others = [held for name, held in HELD.items() if held and name != keep]
+    for held in others:
+        held.clear()
+    if others:
+        gc.collect()
     yield from made
     _trim()(0)
