@@ -32,7 +32,7 @@ from newsloom.llm.words import HELD, give_back
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Bounds of what one worker keeps: pair checks, whole chunks, and pieces of chunks; no result depends on them.
-PAIRS, CHUNKS, PIECES = 400_000, 300_000, 60_000
+PAIRS, CHUNKS, PIECES = 400_000, 600_000, 300_000
 #: Bytes between two looks at what is final.
 EVERY = 64
 #: How a pattern must end for its matches to start anew at a lone space.
