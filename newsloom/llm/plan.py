@@ -91,10 +91,10 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
 _kept: set[str] = set()
 
 
-def stored(frame: DataFrame) -> DataFrame:
+def stored(frame: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """The frame written to the shared folder and read again: its lineage ends there.
 
-    What is left when the Python process ends is deleted then; ``release`` deletes earlier.
+    Rows of one value of the columns ``by`` are in files of their own. What is left when the Python process ends is deleted then; ``release`` deletes earlier.
     """
     spark = frame.sparkSession
     folder = shared_folder(spark)
@@ -102,7 +102,7 @@ def stored(frame: DataFrame) -> DataFrame:
         _kept.add(folder)
         atexit.register(_delete_at_exit, spark, folder)
     path = f"{folder}/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    (frame.write.partitionBy(*by) if by else frame.write).parquet(path)
     found = spark.read.schema(frame.schema).parquet(path)
     found._stored_at = path
     return found

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bags, bpe, leaks, licences, passages, periods, quality, sharding, spots, suffixes, toxicity
+from newsloom.llm import bags, balls, bpe, leaks, licences, passages, periods, quality, sharding, spots, suffixes, tongues, toxicity
 from newsloom.llm.sampling import split
 
 SHARD_BYTES = 1 << 20
@@ -65,9 +65,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.found(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_spot_signatures, op4_bag_minhash, op5_toxicity, op6_byte_bpe, op7_compact_windows, op8_quality, op9_sharding, op10_decontamination, op12_periodic_runs)}
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = tongues.train(docs, "lang", split(F.col("doc_id"), 4) != 2)
+    held_out = F.coalesce(split(F.col("doc_id"), 4) == 2, F.lit(False))
+    return tongues.predict(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_license_scan, op3_spot_signatures, op4_bag_minhash, op5_toxicity, op6_byte_bpe, op7_compact_windows, op8_quality, op9_sharding, op10_decontamination, op11_ball_kmeans, op12_periodic_runs, op13_language_id)}
 ORACLE_SQL: dict[str, str] = {"op2_license_scan": licences.oracle(), "op9_sharding": sharding.oracle(SHARD_BYTES)}
