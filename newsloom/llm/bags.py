@@ -42,7 +42,7 @@ U = np.uint64
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(document, 52-bit shingle) of all runs of ``size`` words, or of all words where there are fewer."""
+    """(document, 64-bit shingle) of all runs of ``size`` words, or of all words where there are fewer."""
     doc = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
     n = len(words) - size + 1
     out_doc, out = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -60,18 +60,25 @@ def shingles(words: np.ndarray, counts: np.ndarray, size: int = SHINGLE) -> tupl
         total = np.zeros(len(counts), dtype=np.uint64)
         np.add.at(total, doc[short], mix(words[short] + place[short].astype(np.uint64)))
         out_doc, out = np.concatenate((out_doc, few)), np.concatenate((out, mix(total[few])))
-    return out_doc, out >> U(64 - KEY)
+    return out_doc, out
 
 
 def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(document, shingle, count) in order, and the number of documents (at most 4096)."""
+    """(document, 52-bit shingle, count) in order, and the number of documents (at most 4096)."""
+    return summed_bags(column)[:4]
+
+
+def summed_bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+    """What ``bags`` gives, and a sum for each document over its shingles in their full length."""
     raw, offs = buffers(column)
     words, counts = word_hashes(raw, offs)
-    doc, value = shingles(words, counts)
-    key = np.sort(doc.astype(np.uint64) << U(KEY) | value)
+    doc, whole = shingles(words, counts)
+    total = np.zeros(len(counts), dtype=np.uint64)
+    np.add.at(total, doc, mix(whole ^ U(0xA0761D6478BD642F)))
+    key = np.sort(doc.astype(np.uint64) << U(KEY) | whole >> U(64 - KEY))
     head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(head, len(key)))
-    return (key[head] >> U(KEY)).astype(np.int64), key[head] & U((1 << KEY) - 1), size, len(counts)
+    return (key[head] >> U(KEY)).astype(np.int64), key[head] & U((1 << KEY) - 1), size, len(counts), total
 
 
 def signatures(doc: np.ndarray, value: np.ndarray, count: np.ndarray, n: int, registers: int = BANDS * ROWS) -> np.ndarray:
@@ -111,29 +118,26 @@ def bands(times: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _digests(doc: np.ndarray, value: np.ndarray, count: np.ndarray, n: int) -> list[np.ndarray]:
-    """Two hashes of each bag that don't depend on order."""
-    out = []
-    for salt in (1, 2):
-        total = np.zeros(n, dtype=np.uint64)
-        np.add.at(total, doc, mix(value * U(2 * salt + 1) + U(salt)) * count.astype(np.uint64))
-        out.append(mix(total).view(np.int64))
-    return out
+def _digest(doc: np.ndarray, value: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each bag that does not depend on order."""
+    total = np.zeros(n, dtype=np.uint64)
+    np.add.at(total, doc, mix(value * U(3) + U(1)) * count.astype(np.uint64))
+    return mix(total).view(np.int64)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, digest_a, digest_b (of the bag), size and bands, for frames of doc_id and text."""
+    """doc_id, digest_a (of the bag as it is compared), digest_b (of the shingles in full length), size and bands, for frames of doc_id and text."""
 
     def run(batches):
         for batch in batches:
             for wide in slices(batch, 1):
                 for i in range(0, wide.num_rows, 2048):
                     part = wide.slice(i, 2048)
-                    doc, value, count, n = bags(part.column(1))
+                    doc, value, count, n, total = summed_bags(part.column(1))
                     found = bands(signatures(doc, value, count, n))
                     size = np.bincount(doc, count, minlength=n).astype(np.int64)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(found.ravel()))
-                    yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, _digests(doc, value, count, n)), pa.array(size), lists], ["doc_id", "digest_a", "digest_b", "size", "bands"])
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_digest(doc, value, count, n)), pa.array(mix(total).view(np.int64)), pa.array(size), lists], ["doc_id", "digest_a", "digest_b", "size", "bands"])
 
     return docs.mapInArrow(lambda batches: give_back(run(batches)), "doc_id long, digest_a long, digest_b long, size long, bands array<long>")
 
@@ -148,7 +152,7 @@ def _bag_table(docs: DataFrame) -> DataFrame:
                     doc, value, count, n = bags(wide.slice(i, 2048).column(1))
                     cut = np.searchsorted(doc, np.arange(n + 1))
                     blobs = [value[a:b].tobytes() + count[a:b].astype(np.uint32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(_digests(doc, value, count, n)[0]), pa.array(blobs, pa.binary())], ["node", "bag"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_digest(doc, value, count, n)), pa.array(blobs, pa.binary())], ["node", "bag"])
 
     return docs.mapInArrow(lambda batches: give_back(run(batches)), "node long, bag binary")
 

@@ -2,7 +2,8 @@
 
 A word is a maximal run of bytes outside ``[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after lower-casing
 A-Z: ASCII letters and digits and every byte of a non-ASCII character. Words never cross documents.
-A word's hash is a polynomial over its bytes modulo 2**64, finished with an avalanche mix.
+A word's hash is the sum over its bytes of an avalanche mix of byte and place, mixed again with the
+length: no structure of words makes sums meet, as it does for polynomials modulo 2**64.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ MASK = (1 << 64) - 1
 #: Bytes hashed at once; a longer document is cut at a byte that belongs to no word.
 SEGMENT = 1 << 18
 
+#: Places in a word whose mixes are held in a table.
+NEAR = 32
+
 #: Bits of one of an exponent's three digits.
 DIGIT = 11
 #: The greatest exponent, beyond any text's length.
@@ -82,6 +86,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+@functools.cache
+def _placed() -> np.ndarray:
+    """The mix of every byte at each of the first NEAR places."""
+    return mix(np.arange(NEAR << 8, dtype=np.uint64) + np.uint64(BASE))
+
+
+def placed(b: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """An avalanche mix of each byte and its place in its word."""
+    key = place << 8 | b
+    out = _placed()[np.minimum(key, (NEAR << 8) - 1)]
+    far = np.flatnonzero(place >= NEAR)
+    out[far] = mix(key[far].astype(np.uint64) + np.uint64(BASE))
+    return out
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -133,8 +152,11 @@ def word_hashes(raw: np.ndarray, offs: np.ndarray, spans: bool = False):
         after[cut[cut > 0] - 1] = False
         first = np.flatnonzero(m & ~before)
         last = np.flatnonzero(m & ~after) + 1
-        prefix = prefix_hashes(b)
-        hashes.append(mix((prefix[last] - prefix[first]) * power(TOP - first) + (last - first).astype(np.uint64)))
+        size = last - first
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(placed(b[m], place))))
+        ends = np.cumsum(size)
+        hashes.append(mix(total[ends] - total[ends - size] + size.astype(np.uint64)))
         firsts.append(first + lo)
         lasts.append(last + lo)
     cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)

@@ -1,5 +1,8 @@
 """Operators held against brute force or held-out accuracy: bags, passages, leaks, classifiers, the pipeline."""
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -9,10 +12,14 @@ from newsloom.llm import bags, components, leaks, passages, quality, queries, to
 from tests.llm.conftest import PASSAGE
 
 
+def plain_bag(text):
+    """The multiset of five-word shingles, or of all words where there are fewer, in plain Python."""
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    return Counter(tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1))))
+
+
 def classes_by_model(texts):
-    doc, value, count, n = bags.bags(pa.array(texts))
-    cut = np.searchsorted(doc, np.arange(n + 1))
-    held = [(value[a:b].tobytes() + count[a:b].astype(np.uint32).tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    held, n = [plain_bag(t) for t in texts], len(texts)
     parent = list(range(n))
 
     def find(x):
@@ -20,9 +27,13 @@ def classes_by_model(texts):
             x = parent[x]
         return x
 
+    def alike(a, b):
+        both = (a & b).total()
+        return both >= 0.8 * (a.total() + b.total() - both)
+
     for i in range(n):
         for j in range(i):
-            if find(i) != find(j) and bags.overlap(held[i], held[j]) >= 0.8:
+            if find(i) != find(j) and alike(held[i], held[j]):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     return [find(i) for i in range(n)]
@@ -59,6 +70,34 @@ def test_classes_of_odd_rows(spark, odd, empty):
     assert bags.classes(empty).count() == 0
 
 
+def test_words_that_a_polynomial_would_not_tell_apart(spark):
+    """Thue-Morse words and their complements meet under every polynomial modulo 2**64."""
+    rows = []
+    for n in (1024, 2048, 4096):
+        word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+        rows += [(n, word), (n + 1, word.translate(str.maketrans("ab", "ba")))]
+    rows += [(k + 10, f"{t} and some more words after it") for k, t in rows]
+    got = {r.doc_id: r.class_id for r in bags.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k for k, _ in rows}
+
+
+def test_recall_by_likeness(spark):
+    """Pairs of each likeness from 0.8 on are found; none below is."""
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for k in range(240):
+        words = [f"p{k}w{i}" for i in range(400)]
+        other = list(words)
+        for at in rng.choice(80, k % 16, replace=False):
+            other[5 * at] = f"p{k}x{at}"
+        a, b = plain_bag(" ".join(words)), plain_bag(" ".join(other))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        want[2 * k + 1] = (a & b).total() / (a | b).total()
+    got = {r.doc_id: r.class_id for r in bags.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {low: [got[k] == k - 1 for k, s in want.items() if low <= s < low + 0.05] for low in (0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95)}
+    assert all(all(v) if low >= 0.8 else not any(v) for low, v in found.items()) and all(len(v) > 5 for low, v in found.items() if low >= 0.65)
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     value = rng.integers(0, 1 << 52, 200).astype(np.uint64)
