@@ -1,0 +1,178 @@
+"""Fetching under limits, the result sink, versions under two writers, as-of joins and the ledger as a stream."""
+
+import datetime as dt
+import http.server
+import json
+import random
+import threading
+
+import pytest
+from pyspark.sql import functions as F
+
+from newsloom.operators import asof, store, visits
+from newsloom.sources import feeds, fetch, results
+from newsloom.streaming import visits as streamed
+
+
+@pytest.fixture(scope="module")
+def server():
+    """A host with a page, a large page that tells its size, one that does not, and nothing else."""
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        read = 0
+
+        def do_GET(self):
+            body = {"/page": "a page with é".encode(), "/large": b"x" * 5000, "/silent": b"y" * 5000}.get(self.path)
+            if body is None:
+                self.send_error(404)
+                return
+            self.send_response(200)
+            if self.path != "/silent":
+                self.send_header("content-length", str(len(body)))
+            self.end_headers()
+            try:
+                self.wfile.write(body)
+            except OSError:
+                pass
+
+        def log_message(self, *_):
+            pass
+
+    made = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=made.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{made.server_port}"
+    made.shutdown()
+
+
+def test_fetch_as_data_source_and_step(spark, server, tmp_path):
+    (tmp_path / "f.txt").write_text("held é")
+    urls = [f"{server}/page", f"{server}/large", f"{server}/silent", f"{server}/none", f"file://{tmp_path}/f.txt", f"file://{tmp_path}/none", "nonsense", f"{server}/page"]
+    want = {
+        urls[0]: (14, "a page with é", None), urls[1]: (5000, None, "127.0.0.1 response is too large"), urls[2]: (None, None, "127.0.0.1 response is too large"),
+        urls[3]: (None, None, "127.0.0.1 returned 404"), urls[4]: (7, "held é", None),
+    }
+    fetch.register(spark)
+    source = spark.read.format("bounded_fetch").option("urls", json.dumps(urls)).option("cap", "1000").option("group", "3").load()
+    assert source.rdd.getNumPartitions() == 3
+    rows = source.collect()
+    assert len(rows) == len(urls)
+    step = fetch.fetched(spark.createDataFrame([(u,) for u in [*urls, None]], "url string"), 1000).collect()
+    assert len(step) == len(set(urls))
+    for found in (rows, step):
+        by = {r.url: (r.bytes, r.body, r.error) for r in found}
+        assert {u: by[u] for u in want} == want
+        assert all(by[u][1] is None and by[u][2] for u in urls[5:7])
+    (tmp_path / "list.txt").write_text("\n".join(urls[:2]) + "\n")
+    assert spark.read.format("bounded_fetch").option("list", str(tmp_path / "list.txt")).load().count() == 2
+
+
+def test_archive_answers_as_the_network_would(spark):
+    pages = spark.createDataFrame([("https://a.example/1", "é" * 10), ("https://a.example/2", "x" * 100), ("https://a.example/1", "é" * 10)], "url string, body string")
+    urls = spark.createDataFrame([("https://a.example/1",), ("https://a.example/2",), ("https://a.example/3",), (None,)], "url string")
+    got = {r.url[-1]: (r.bytes, r.body, r.error) for r in fetch.archived(urls, pages, 50).collect()}
+    assert got == {"1": (20, "é" * 10, None), "2": (100, None, "a.example response is too large"), "3": (None, None, "a.example returned 404")}
+
+
+def test_files_over_the_limit_are_not_read(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("é" * 10)
+    (tmp_path / "b.xml").write_text("x" * 30)
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.body, r.error) for r in feeds.read_whole(spark, str(tmp_path), 20).collect()}
+    assert got == {"a.xml": (20, "é" * 10, None), "b.xml": (30, None, "file response is too large")}
+    plan = feeds.read_whole(spark, str(tmp_path), 20)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,20)" in plan.replace(" ", "")
+
+
+def test_results_count_only_when_whole(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    results.register(spark)
+    rows = spark.range(20).select("id", F.struct(F.col("id").cast("string").alias("name"), F.array("id").alias("list")).alias("inner"), F.expr("DATE '2024-01-02'").alias("day"))
+    write = lambda frame, mode: frame.write.format("json_results").mode(mode).save(folder)
+    write(rows.repartition(4), "append")
+    broken = F.udf(lambda i: i if i != 13 else 1 // 0, "long")
+    with pytest.raises(Exception):
+        write(rows.repartition(4).withColumn("id", broken("id")), "append")
+    read = lambda: sorted(results.read_results(spark, folder, rows.schema).collect(), key=lambda r: r.id)
+    assert read() == sorted(rows.collect(), key=lambda r: r.id)
+    assert len(list((tmp_path / "out").glob("result-*"))) == 1  # the failed write is not named
+    stray = next((tmp_path / "out" / "files").iterdir()) / "stray.jsonl"
+    stray.write_text('{"id": 99}\n')
+    write(rows.where("id < 3"), "append")
+    assert [r.id for r in read()] == sorted([*range(20), 0, 1, 2])
+    write(rows.where("id < 3"), "overwrite")
+    assert [r.id for r in read()] == [0, 1, 2] and len(list((tmp_path / "out").glob("result-*"))) == 1
+
+
+def test_two_writers_lose_no_row(spark, tmp_path):
+    table = store.Versioned(spark, str(tmp_path / "t"))
+    assert table.version() == 0 and table.read() is None
+    table.write(spark.range(1))
+    meet, errors = threading.Barrier(2, timeout=60), []
+
+    def add(number: int):
+        first = [True]
+
+        def change(rows):
+            if first[0]:  # both set out from version 1
+                first[0] = False
+                meet.wait()
+            return rows.unionByName(spark.range(number, number + 1))
+
+        try:
+            store.Versioned(spark, str(tmp_path / "t")).update(change)
+        except Exception as error:  # noqa: BLE001
+            errors.append(error)
+
+    threads = [threading.Thread(target=add, args=(n,)) for n in (10, 20)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not errors and table.version() == 3
+    assert sorted(r.id for r in table.read().collect()) == [0, 10, 20]
+    with pytest.raises(store.Conflict):
+        table.write(spark.range(5), base=1)
+    assert len(list((tmp_path / "t").glob("v-*"))) == 3 and sorted(r.id for r in table.read(1).collect()) == [0]
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+def test_as_of_matches_a_plain_search(spark, keyed):
+    rng = random.Random(1)
+    start = dt.datetime(2024, 1, 1)
+    moment = lambda: start + dt.timedelta(hours=rng.randrange(0, 400))
+    keys = ["a", "a", "a", "b", None]
+    versions = [(rng.choice(keys), moment(), v) for v in range(60)] + [("a", None, 900)]
+    rows = [(i, rng.choice(keys), moment()) for i in range(200)] + [(500, "a", None), (501, "none", moment())]
+    got = asof.as_of(spark.createDataFrame(rows, "id long, k string, at timestamp_ntz"), spark.createDataFrame(versions, "k string, since timestamp_ntz, v long"), "at", "since", "v", ["k"] if keyed else None)
+    assert got.columns == ["id", "k", "at", "version"]
+    plain = {}
+    for i, k, at in rows:
+        own = [(since, v) for vk, since, v in versions if at and since and since <= at and (not keyed or vk == k)]
+        plain[i] = max(own)[1] if own else None
+    assert {r.id: r.version and r.version.v for r in got.collect()} == plain
+
+
+def test_profile_of_its_time(spark):
+    editions = spark.createDataFrame([("e1", dt.datetime(2024, 1, 2), None), ("e2", dt.datetime(2024, 3, 1), None), ("e3", dt.datetime(2024, 3, 1), "own"), ("e0", dt.datetime(2023, 1, 1), None)], "id string, published_at timestamp_ntz, profile_json string")
+    profiles = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), "one"), (2, dt.datetime(2024, 2, 1), "two")], "version int, created_at timestamp_ntz, profile_json string")
+    assert {r.id: r.profile_json for r in asof.profile_for(editions, profiles).collect()} == {"e1": "one", "e2": "two", "e3": "own", "e0": None}
+
+
+def test_stream_and_batch_give_one_ledger(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.col("user_id").alias("visitor_key"), F.col("ts").cast("timestamp").alias("visited_at"), F.col("event_type").alias("country"))
+    days = events.withColumn("visit_day", F.to_date("visited_at"))
+    old = visits.first_per_day(days.where("id % 3 = 0"))
+    new = events.where("id % 3 <> 0")
+    # ordered by time, in files that a trigger takes one at a time
+    for n, part in enumerate(range(3)):
+        edges = [dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20), dt.datetime(2030, 1, 1)]
+        new.where((F.col("visited_at") >= edges[part]) & (F.col("visited_at") < edges[part + 1])).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streamed.ROCKSDB)
+    try:
+        source = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        for _ in range(2):  # a second run from the checkpoint adds nothing
+            assert streamed.write_ledger(streamed.ledger_entries(source, old), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(90)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = sorted((r.visitor_key, r.visit_day, r.id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    both = visits.recorded(old, days.where("id % 3 <> 0"), F.lit(dt.datetime(2024, 1, 1)))
+    known = {r.id for r in old.select("id").collect()}
+    assert got == sorted((r.visitor_key, r.visit_day, r.id) for r in both.collect() if r.id not in known)
+    assert len(got) > 20
