@@ -137,3 +137,39 @@ def test_passages_against_brute_force(spark):
     right = {r.doc_id for r in got if held[r.doc_id][0] == held[r.source_doc_id][0] and r.start_word < held[r.doc_id][1] + len(held[r.doc_id][2]) and r.end_word > held[r.doc_id][1]}
     assert len(want & right) >= 0.9 * len(want) and len(want) > 40
     assert all(held[r.doc_id][0] == held[r.source_doc_id][0] for r in got)
+
+
+def test_a_whole_passage_among_many_holders_of_parts(spark):
+    """Two documents hold a passage of 120 words, after, between and before one to eight that hold 60 to 80 words of it: the later finds the earlier."""
+    rng = random.Random(5)
+    rows, want = [], {}
+    for case in range(40):
+        words = [f"c{case}p{k}" for k in range(120)]
+        parts_ = []
+        for _ in range(1 + case % 8):
+            begin = rng.randrange(0, 60)
+            parts_.append(words[begin : begin + rng.randrange(60, 81)])
+        places = sorted(rng.sample(range(len(parts_) + 2), 2))
+        held = list(parts_)
+        for at in places:
+            held.insert(at, words)
+        base = 100 * case
+        for k, own in enumerate(held):
+            edge = lambda e: [f"c{case}k{k}{e}{i}" for i in range(40)]  # noqa: B023,E731
+            rows.append((base + k, " ".join([*edge("a"), *own, *edge("b")])))
+        want[base + places[1]] = base + places[0]
+    got = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.source_doc_id) for r in got if r.start_word <= 45 and r.end_word >= 155 and r.similarity > 0.95}
+    assert sum(pair in found for pair in want.items()) >= 0.9 * len(want)
+
+
+def test_rows_of_one_id_count_each_in_any_order(spark):
+    passage, other = numbered("p", 120), numbered("other", 150)
+    rows = [(1, f"{numbered('x', 30)} {passage}"), (2, other), (2, f"{passage} {numbered('y', 30)}"), (3, f"{numbered('z', 9)} {passage}"), (3, f"{other} {numbered('w', 9)}")]
+    made = set()
+    for order in ([0, 1, 2, 3, 4], [0, 2, 1, 4, 3], [4, 3, 2, 1, 0]):
+        frame = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").coalesce(1)
+        got = {tuple(r) for r in passages.repeats(frame).collect()}
+        assert {(2, 1), (3, 2)} <= {(r[0], r[3]) for r in got}
+        made.add(frozenset(got))
+    assert len(made) == 1
