@@ -51,6 +51,20 @@ def recorded(old: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:
     return retained(both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_late"), as_of)
 
 
+def summary(visits: DataFrame, today: Column, as_of: Column, limit: float | str | None = 50, top: int = 30) -> DataFrame:
+    """One row: what is within the retention counted, its latest entries and its places with most visitors.
+
+    Entries beyond the retention are left out of everything, as if deleted first.
+    """
+    kept = retained(visits, as_of)
+    latest = recent(kept, limit).agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("visited_at").cast("timestamp"))).alias("at"), "id"))).alias("r"))
+    places = by_location(kept, top).agg(F.array_sort(F.collect_list(F.struct((-F.col("unique_visitors")).alias("n"), "country", "region"))).alias("p"))
+    visit_ids = latest.select(F.transform("r", lambda x: x["id"]).alias("visit_ids"))
+    locations = places.select(F.transform("p", lambda x: F.struct(x["country"].alias("country"), x["region"].alias("region"), (-x["n"]).alias("unique_visitors"))).alias("locations"))
+    one = lambda frame: frame.withColumn("_row", F.lit(1))  # noqa: E731  each has one row
+    return one(totals(kept, today)).join(one(visit_ids), "_row").join(one(locations), "_row").drop("_row")
+
+
 def tracked(method: Column, path: Column, accept: Column) -> Column:
     """Whether a request is for a page that counts."""
     return (method == "GET") & path.isin("/", "/history", "/history/") & (accept.isNull() | accept.contains("text/html"))
