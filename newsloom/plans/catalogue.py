@@ -431,15 +431,19 @@ def _titles(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), title.alias("title"))
 
 
-@query(f"WITH {TITLES}, {TOKENED}, {SIMILAR.format(on='a.id < b.id')} SELECT left_id, right_id, round(similarity, 9) AS similarity FROM y WHERE similarity >= 0.62")
+@query(f"""WITH {TITLES}, {TOKENED.replace("k AS", "all_k AS")}, m AS (SELECT id, title, tokens, min(id) OVER (PARTITION BY list_sort(tokens)) AS first FROM all_k),
+k AS (SELECT id, title, tokens FROM m WHERE id = first), {SIMILAR.format(on="a.id < b.id")}
+SELECT left_id, right_id, round(similarity, 9) AS similarity FROM y WHERE similarity >= 0.62
+UNION ALL SELECT first, id, 1.0::DOUBLE FROM m WHERE id <> first AND len(tokens) >= 3""")
 def near_dup_pairs(spark, sf_dir):
-    rows = _titles(spark, sf_dir).select("id", text.token_set(F.col("title")).alias("tokens"))
-    # equal titles are one set: sets are compared once, then every pair of their stories is named
-    sets = rows.groupBy("tokens").agg(F.min("id").alias("id"))
-    members = rows.join(sets.withColumnRenamed("id", "set_id"), "tokens").select("id", "set_id")
-    found = dedup.similar_pairs(sets, sets)
-    pairs = found.join(members.select(F.col("set_id").alias("left_id"), F.col("id").alias("a")), "left_id").join(members.select(F.col("set_id").alias("right_id"), F.col("id").alias("b")), "right_id")
-    return pairs.where("a < b").select(F.col("a").alias("left_id"), F.col("b").alias("right_id"), F.round("similarity", 9).alias("similarity"))
+    """Alike titles: pairs of different sets of title words, each by its first story, and the pair of that story and each other one
+    of its set. Stories of one set are alike to all that their first is, so no pair of two sets is written for every pair of their stories."""
+    rows = _titles(spark, sf_dir).select("id", F.array_sort(text.token_set(F.col("title"))).alias("tokens"))
+    sets = rows.groupBy("tokens").agg(F.min("id").alias("first"))
+    firsts = sets.select("tokens", F.col("first").alias("id"))
+    found = dedup.similar_pairs(firsts, firsts).where("left_id < right_id")
+    members = rows.where(F.size("tokens") >= 3).join(sets, "tokens").where("id <> first").select(F.col("first").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("similarity"))
+    return found.unionByName(members).withColumn("similarity", F.round("similarity", 9))
 
 
 @query()
@@ -483,9 +487,20 @@ def quota_select(spark, sf_dir):
     return selection.quota_by_source(rows, {"src1": 3, "src2": 2, "src3": 1}, [F.col("score").desc(), F.col("doc_id")], 6)
 
 
-@query()
+CAPS = fixed.SOURCE_CAPS
+ROOM = {name: f"r{k}" for k, name in enumerate(CAPS)}
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT doc_id, doc_id // 64 AS report_id, row_number() OVER (PARTITION BY doc_id // 64 ORDER BY n_chars % 50 DESC, doc_id DESC) AS n,
+  {list(CAPS)}[doc_id % 3 + 1] AS a, {list(CAPS)}[n_chars % 3 + 1] AS b FROM documents),
+z AS (SELECT DISTINCT report_id, 0::BIGINT AS n, {", ".join(f"{CAPS[s]}::BIGINT AS {r}" for s, r in ROOM.items())}, NULL::BIGINT AS doc_id, NULL::VARCHAR AS counted_for FROM g
+UNION ALL SELECT report_id, n, {", ".join(f"{r} - CASE WHEN s = '{s}' THEN 1 ELSE 0 END" for s, r in ROOM.items())}, doc_id, s FROM (
+  SELECT g.report_id, g.n, {", ".join(f"z.{r}" for r in ROOM.values())}, g.doc_id, CASE
+    WHEN CASE g.a {" ".join(f"WHEN '{s}' THEN z.{r}" for s, r in ROOM.items())} END > 0 THEN g.a
+    WHEN CASE g.b {" ".join(f"WHEN '{s}' THEN z.{r}" for s, r in ROOM.items())} END > 0 THEN g.b END AS s FROM z JOIN g ON g.report_id = z.report_id AND g.n = z.n + 1) q)
+SELECT report_id, doc_id, counted_for FROM z WHERE counted_for IS NOT NULL""")
 def greedy_quota(spark, sf_dir):
-    """Six of each 64 documents under quotas with two sources each; tests hold it against a plain model."""
+    """Six of each 64 documents under quotas with two sources each, which have room for six in all."""
     docs = table(spark, sf_dir, "documents")
     sources = F.array(F.element_at(F.array(*map(F.lit, fixed.SOURCE_CAPS)), (F.col("doc_id") % 3 + 1).cast("int")), F.element_at(F.array(*map(F.lit, fixed.SOURCE_CAPS)), (F.col("n_chars") % 3 + 1).cast("int")))
     rows = docs.select(F.floor(F.col("doc_id") / 64).cast("long").alias("report_id"), "doc_id", (F.col("n_chars") % 50).alias("score"), F.col("doc_id").alias("published_at"), sources.alias("sources"))

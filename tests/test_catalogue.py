@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from newsloom.plans import flows  # noqa: F401  adds its queries
+from newsloom.plans import flows, parsing  # noqa: F401  add their queries
 from newsloom.plans.catalogue import ORACLE_SQL, QUERIES
 
 
