@@ -7,7 +7,12 @@ shuffled, never texts. A cell that is itself over the limit is divided by all bi
 
 The hash is of the id and the text, so one id that holds many different texts splits as well.
 Rows equal in both can't be told apart by any bit: they share a bucket of the greatest depth, as
-does a single row over the limit, and ``overfull`` marks such buckets. Null text counts 0 bytes.
+does a single row over the limit, and ``overfull`` marks such buckets.
+
+Texts are read and hashed once, for a table of id, bytes and hash that all later steps read. Null
+text counts 0 bytes and is hashed as empty; rows of null id are hashed by their text alone and kept.
+A very long text is a row like others, alone in its bucket if it is over the limit. Repeated rows
+each count. An empty table gives no rows; of other columns none is kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +22,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.llm.plan import quoted, stored
+
 BITS = 60
 
 
@@ -34,13 +41,14 @@ def _leaves(cells: DataFrame, bits: int, limit: int) -> DataFrame:
 
 def assign(docs: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, shard (the bucket's bits as text), depth, shard_bytes, shard_docs, overfull."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    digest = F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(text)).cast("binary"))
+    key, text = F.col(quoted(id_col)), F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit(""))
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(text)).cast("binary"))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        key.cast("long").alias("doc_id"),
         F.octet_length(text).cast("long").alias("n_bytes"),
         F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long").alias("hash"),
     )
+    rows = stored(rows)
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     bits = min(BITS, max(1, math.ceil(math.log2(max(total, 1) / limit))) + 6)
     rows = rows.withColumn("cell", F.shiftright("hash", BITS - bits))

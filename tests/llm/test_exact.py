@@ -235,3 +235,11 @@ def test_word_hashes():
     assert counts.tolist() == [0, 3, 2, 1]
     assert [raw[a:b].tobytes().decode() for a, b in zip(first, last, strict=True)] == ["One", "two", "TWO", "é1", "b", "x" * 10]
     assert hashes[1] == hashes[2] and len(set(hashes.tolist())) == 5
+
+
+def test_shards_of_rows_without_id_or_text_and_columns_of_any_name(spark):
+    rows = [(None, "a text", 1, "x"), (None, "a text", 1, "x"), (3, None, 2, "y"), (4, "long " * 500, 3, "z"), (5, "", 4, "w")]
+    frame = spark.createDataFrame(rows, "`the.id` int, `the text` string, cell int, hash string").withColumnRenamed("cell", "leaf")
+    got = sorted(((r.doc_id, r.n_bytes, r.overfull, r.shard_docs) for r in sharding.assign(frame, 100, "the.id", "the text").collect()), key=str)
+    assert [g[:2] for g in got] == sorted([(None, 6), (None, 6), (3, 0), (4, 2500), (5, 0)], key=str)
+    assert [g for g in got if g[2]] == [(4, 2500, True, 1)]
