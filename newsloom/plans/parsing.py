@@ -111,6 +111,14 @@ def page_link_texts(spark, sf_dir):
     return found.select("page_id", "url", "link_text", F.col("place").cast("long").alias("place"))
 
 
+@query()
+def page_articles(spark, sf_dir):
+    """Every page as an article: its heading, its summary and the link that is the best evidence of it. SQL can't resolve URLs; a test holds
+    it against a plain model."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("https://pages.example/"), F.col("page_id"), F.lit("/")).alias("url"), F.col("html").alias("body"))
+    return feeds.articles(pages)
+
+
 # --- what is made of candidates -------------------------------------------------------------------
 
 
