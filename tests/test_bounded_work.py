@@ -28,3 +28,20 @@ def test_catalog_repairs_each_url_once(spark):
     found = rows.select(editions.catalog(F.col("anchors")).alias("c"))
     assert [(x.url, x.label) for x in found.first().c] == [("http://a.example/1", "A"), ("https://a.example/1", "A")]
     assert plan(found).count("regexp_replace") <= 4
+
+
+def test_pairs_of_sets_are_not_sent_on(spark):
+    words = [f"w{i}" for i in range(30)]
+    sets = [(i, sorted({words[(i * k + k * k) % 30] for k in range(3 + i % 9)} | ({"common"} if i % 2 else set()))) for i in range(60)]
+    frame = spark.createDataFrame(sets, "id long, tokens array<string>")
+    found = dedup.similar_pairs(frame, frame.where("id % 3 > 0"))
+    want = set()
+    for a, x in sets:
+        for b, y in sets:
+            both, least = len({*x} & {*y}), min(len(x), len(y))
+            if b % 3 and least >= 3 and max(both / len({*x} | {*y}), both / least * 0.9) >= 0.62:
+                want.add((a, b))
+    got = [(r.left_id, r.right_id) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # compared where they meet: pairs are not sent on to be told apart
+    assert "Deduplicate" not in plan(found) and "Distinct" not in plan(found)
