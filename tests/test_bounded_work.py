@@ -1,8 +1,10 @@
 """Work that stays in proportion to what is read, and batches that stay bounded."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from newsloom.functions import batches
+from newsloom.llm import passages
 from newsloom.operators import dedup, editions
 
 
@@ -45,3 +47,17 @@ def test_pairs_of_sets_are_not_sent_on(spark):
     assert len(got) == len(set(got)) and set(got) == want
     # compared where they meet: pairs are not sent on to be told apart
     assert "Deduplicate" not in plan(found) and "Distinct" not in plan(found)
+
+
+def test_repeated_lines_are_searched_once(monkeypatch):
+    line = np.arange(45, dtype=np.uint64) * np.uint64(977) + np.uint64(5)
+    a, b = np.tile(line, 9), np.concatenate((line, np.arange(40, dtype=np.uint64) + np.uint64(10**6)))
+    calls, numbered = [], passages._numbered
+    monkeypatch.setattr(passages, "_numbered", lambda x: calls.append(len(x)) or numbered(x))
+    assert passages.all_alike(a, b, 0.8) == []
+    assert len(calls) < 300
+    # texts without repeated tokens are not numbered at all
+    calls.clear()
+    rest = np.arange(200, dtype=np.uint64)
+    far = np.concatenate((np.arange(60, dtype=np.uint64) + np.uint64(30), np.uint64(500) + rest))
+    assert passages.all_alike(rest, far, 0.8) == [(30, 90, 0, 60, 1.0)] and not calls
