@@ -173,3 +173,21 @@ def test_rows_of_one_id_count_each_in_any_order(spark):
         assert {(2, 1), (3, 2)} <= {(r[0], r[3]) for r in got}
         made.add(frozenset(got))
     assert len(made) == 1
+
+
+def test_latent_space_is_not_that_of_a_sample(spark):
+    """Which documents have which ids has no say in a cosine: what is known of words comes from all of them."""
+    rng = random.Random(5)
+    words = [f"term{i}" for i in range(300)]
+    items = [(i, " ".join(rng.sample(words, 30))) for i in range(20)]
+    texts = [" ".join(rng.choices(words[: 40 + n % 200], k=15)) for n in range(4_400)] + [t for _, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def found(ids):
+        got = leaks.leaks(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), bench).collect()
+        at = dict(zip(ids, range(len(texts)), strict=True))
+        return {(at[r.doc_id], r.item_id, r.covered): r.cosine for r in got}
+
+    one, two = found(range(len(texts))), found(range(len(texts), 0, -1))
+    assert one.keys() == two.keys() and {(4_400 + i, i, 1.0) for i in range(20)} <= one.keys()
+    assert all(abs(one[k] - two[k]) < 1e-9 for k in one)
