@@ -5,21 +5,22 @@ features) and added into lookup tables, so a score is a sum of table entries und
 Features come from the text alone. Null text counts as empty; empty text has the features of no
 characters and gets a score like any other. Every row gets a score, repeated rows and rows without id
 too; an empty table gives none. Very long texts are worked off by segments of words. Of several labels
-of one id the highest counts. Kept columns may have any names; a value on a bin's edge is in the bin above.
+of one id the highest counts. All labelled rows are learned from: where they are more than one part, each part
+fits a model of its own over common bins, and the tables' means are the model. Kept columns may have any names; a value on a bin's edge is in the bin above.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
-from newsloom.llm.plan import bounded_batches, quoted, with_text
-from newsloom.llm.sampling import lowest
+from newsloom.llm.plan import bounded_batches, quoted, release, stored, with_text
 from newsloom.llm.words import buffers, give_back, slices, word_hashes
 
 FEATURES = (
@@ -27,6 +28,11 @@ FEATURES = (
     "symbols", "spaces", "newlines", "non_ascii", "distinct_words", "distinct_pairs", "distinct_lines", "symbols_per_word",
 )
 
+#: Bins of a feature by itself and in a pair.
+BINS, COARSE = 64, 12
+#: Labelled rows that one model is fitted on.
+PART_ROWS = 20_000
+
 KIND = np.zeros((7, 256), dtype=bool)
 KIND[0, 65:91] = True
 KIND[1, 48:58] = True
@@ -165,16 +171,18 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 30,
     return boosted(x, y, min(best, rounds), max(best - rounds, 0), **how)[0]
 
 
-def boosted(x: np.ndarray, y: np.ndarray, rounds: int, pair_rounds: int, watch=None, bins: int = 64, n_pairs: int = 6, rate: float = 0.12, ridge: float = 1.0, rows: int = 3) -> tuple[Additive, np.ndarray]:
+def boosted(x: np.ndarray, y: np.ndarray, rounds: int, pair_rounds: int, watch=None, bins: int = BINS, n_pairs: int = 6, rate: float = 0.12, ridge: float = 1.0, rows: int = 3, cuts: tuple[list[np.ndarray], list[np.ndarray]] | None = None) -> tuple[Additive, np.ndarray]:
     """A model of ``rounds`` over features, then ``pair_rounds`` over pairs, and the mean log loss on
     the watched rows before the first and after each of them. A leaf has ``rows`` rows or more, or
-    a two-thousandth of all."""
+    a two-thousandth of all. ``cuts`` are edges of fine and coarse bins; without them they come from the rows."""
     rate_1 = (y.sum() + 1) / (len(y) + 2)
     d = x.shape[1] if x.ndim == 2 and len(x) else len(FEATURES)
     model = Additive(float(np.log(rate_1 / (1 - rate_1))), [], [], [], [], [])
     x = x.reshape(-1, d)
     model.edges = [_edges(x[:, j], bins) if len(x) else np.zeros(0, np.float32) for j in range(d)]
-    model.coarse = [_edges(x[:, j], 12) if len(x) else np.zeros(0, np.float32) for j in range(d)]
+    model.coarse = [_edges(x[:, j], COARSE) if len(x) else np.zeros(0, np.float32) for j in range(d)]
+    if cuts:
+        model.edges, model.coarse = cuts
     model.single = [np.zeros(len(e) + 1) for e in model.edges]
     least = max(rows, 0.0005 * len(y))
     place = lambda z, edges: [np.searchsorted(edges[j], z[:, j], "right") for j in range(d)]
@@ -227,25 +235,60 @@ def boosted(x: np.ndarray, y: np.ndarray, rounds: int, pair_rounds: int, watch=N
     return model, np.array(losses)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Additive:
-    """Fit on at most ``sample`` labelled rows (the bound of what reaches the driver)."""
+def mean(models: list[Additive]) -> Additive:
+    """The model whose raw score is the mean of the others'; all have the same bins."""
+    first, n = models[0], len(models)
+    pairs = sorted({p for m in models for p in m.pairs})
+    pair = [sum(m.pair[m.pairs.index(p)] for m in models if p in m.pairs) / n for p in pairs]
+    return Additive(sum(m.base for m in models) / n, first.edges, [sum(t) / n for t in zip(*(m.single for m in models), strict=True)], pairs, first.coarse, pair)
+
+
+def _ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels, in an order that depends on nothing but the rows."""
+    order = np.argsort([str(v) for v in zip(table["y"].to_pylist(), table["x"].to_pylist(), strict=True)], kind="stable")
+    y = table["y"].to_numpy()[order] if len(table) else np.zeros(0)
+    return np.array(table["x"].to_pylist(), dtype=np.float32).reshape(-1, len(FEATURES))[order], y
+
+
+def _common_cuts(rows: DataFrame) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Edges of fine and coarse bins just above quantiles of all rows' features."""
+    at = [[k / bins for k in range(1, bins)] for bins in (BINS, COARSE)]
+    found = rows.agg(*(F.percentile_approx(F.col("x")[j], at[0] + at[1], 10_000).alias(str(j)) for j in range(len(FEATURES)))).first()
+    edges = lambda values: np.unique(np.nextafter(np.array(values, dtype=np.float32), np.float32(np.inf)))
+    return [edges(v[: BINS - 1]) for v in found], [edges(v[BINS - 1 :]) for v in found]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, part_rows: int = PART_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Additive:
+    """Fit on all labelled rows, in parts of about ``part_rows``; one part is fitted by the driver, more are by tasks."""
     bounded_batches(docs.sparkSession)
     own = F.col(quoted(id_col))
     rows = labels.where(allowed & F.col(label).isNotNull()).select(own.alias("doc_id"), F.col(label).cast("double").alias("y"))
-    chosen = lowest(rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y")), "doc_id", sample)
-    joined = docs.select(own.alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("y", "text")
+    rows = rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
+    texts = docs.where(own.isNotNull()).select(own.alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
                 x = text_features(part.column(1))
-                yield pa.RecordBatch.from_pydict({"y": part.column(0), "x": pa.array(list(x), pa.list_(pa.float32()))})
-
-    table = joined.mapInArrow(lambda batches: give_back(run(batches)), "y double, x array<float>").toArrow()
-    order = np.argsort([str(v) for v in zip(table["y"].to_pylist(), table["x"].to_pylist(), strict=True)], kind="stable")
-    y = table["y"].to_numpy()[order] if len(table) else np.zeros(0)
-    x = np.array(table["x"].to_pylist(), dtype=np.float32).reshape(-1, len(FEATURES))[order]
-    return fit(x, y)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "x"])
+
+    # features are small and go to their labels; texts stay where they are
+    made = texts.mapInArrow(lambda batches: give_back(run(batches)), StructType([texts.schema["doc_id"], StructField("x", ArrayType(FloatType()))]))
+    known = stored(made.join(rows, "doc_id").select("doc_id", "y", "x"))
+    parts = -(-known.count() // part_rows)
+    if parts <= 1:
+        model = fit(*_ordered(known.select("y", "x").toArrow()))
+    else:
+        cuts = _common_cuts(known)
+
+        def one(table: pa.Table) -> pa.Table:
+            return pa.table({"part": table["part"][:1], "model": pa.array([pickle.dumps(fit(*_ordered(table), cuts=cuts))], pa.binary())})
+
+        dealt = known.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"), "y", "x")
+        found = dealt.groupBy("part").applyInArrow(one, "part long, model binary").collect()
+        model = mean([pickle.loads(r.model) for r in sorted(found, key=lambda r: r.part)])
+    release(known)
+    return model
 
 
 def score(docs: DataFrame, model: Additive, keep: list[str], text_col: str = "text", name: str = "quality_score") -> DataFrame:

@@ -238,3 +238,19 @@ def test_held_out_toxic_texts(spark):
         above = (one[:, None] > zero[None]).mean() + 0.5 * (one[:, None] == zero[None]).mean()
         called = [r.toxic for r in rows if r.predicted]
         assert above >= auc and sum(called) >= recall * len(one) and sum(called) >= precision * len(called)
+
+
+def test_quality_is_learned_from_all_labelled_rows(spark):
+    """Labels beyond the first part's rows have their say, and a model of many parts tells texts apart as one of a single part does."""
+    texts = [(i, f"{'Plain words stand here, and more of them follow. ' * (2 + i % 3)}" if i % 2 else "x9 $$ ## 77 %% " * (3 + i % 4)) for i in range(240)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, quality int")
+    first = {r.doc_id for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(60).collect()}
+    other = spark.createDataFrame([(i, i % 2 if i in first else 1 - i % 2) for i in range(240)], "doc_id long, quality int")
+
+    def called(known, rows):
+        model = quality.train(docs, known, "quality", F.lit(True), rows)
+        return {r.doc_id: r.made >= 0.5 for r in quality.score(docs, model, ["doc_id"], name="made").collect()}
+
+    assert called(labels, 60) == called(labels, 1_000) == {i: bool(i % 2) for i in range(240)}
+    assert called(other, 60) == {i: not i % 2 for i in range(240)}
