@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from newsloom.llm import bags, leaks, passages
@@ -163,6 +164,26 @@ def test_a_whole_passage_among_many_holders_of_parts(spark):
     assert sum(pair in found for pair in want.items()) >= 0.9 * len(want)
 
 
+def test_every_two_holders_of_different_classes_meet():
+    """Of each key all pairs of different ids but those whose sources lead to the same node, whoever is first or just before."""
+    rng = random.Random(7)
+    rows = sorted({(rng.randrange(9), rng.randrange(40)) for _ in range(200)})
+    ids = {n: n // 2 for n in range(40)}  # two rows of each id
+    source = {n: rng.choice([n, n, rng.randrange(n + 1)]) for n in range(40)}
+    held = {k: {n for q, n in rows if q == k} for k, _ in rows}
+
+    def class_(k, n):
+        while n in held[k] and source[n] != n:
+            n = source[n]
+        return n
+
+    want = {(k, a, b) for k in held for a in held[k] for b in held[k] if b < a and ids[a] != ids[b] and class_(k, a) != class_(k, b)}
+    key, node = (np.array(x) for x in zip(*rows, strict=True))
+    above, own = np.array([source[n] for n in node.tolist()]), np.array([ids[n] for n in node.tolist()])
+    got = [(int(key[i]), int(node[i]), int(node[j])) for a, b in passages.met(key, node, above, own) for i, j in zip(a, b, strict=True)]
+    assert set(got) == want and len(got) == len(want) > 500
+
+
 def test_rows_of_one_id_count_each_in_any_order(spark):
     passage, other = numbered("p", 120), numbered("other", 150)
     rows = [(1, f"{numbered('x', 30)} {passage}"), (2, other), (2, f"{passage} {numbered('y', 30)}"), (3, f"{numbered('z', 9)} {passage}"), (3, f"{other} {numbered('w', 9)}")]
