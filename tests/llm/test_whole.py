@@ -1,5 +1,6 @@
 """Work that must be done whole: ties, later partners, several passages, items by the thousand."""
 
+import collections
 import random
 
 import numpy as np
@@ -212,3 +213,24 @@ def test_latent_space_is_not_that_of_a_sample(spark):
     one, two = found(range(len(texts))), found(range(len(texts), 0, -1))
     assert one.keys() == two.keys() and {(4_400 + i, i, 1.0) for i in range(20)} <= one.keys()
     assert all(abs(one[k] - two[k]) < 1e-9 for k in one)
+
+
+def test_holders_with_tokens_in_common_are_those_of_all_pairs():
+    """Pairs of different classes with at least 40 tokens in common, repeated ones too; a common line alone makes none."""
+    rng = random.Random(9)
+    line, stock = list(range(8)), list(range(100, 190))
+    texts = [[*line, *rng.sample(stock, rng.choice([5, 60])), *range(1000 * i, 1000 * i + 30)] for i in range(1, 60)]
+    texts += [[7] * 45, [7] * 50, [7] * 39]
+    class_ = np.array([rng.randrange(20) for _ in texts])
+    count = [collections.Counter(t) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if class_[i] != class_[j] and sum((count[i] & count[j]).values()) >= 40}
+    got = [(int(a), int(b)) for i, j in passages.near([np.array(t, np.uint64) for t in texts], class_, 40) for a, b in zip(i, j, strict=True)]
+    assert set(got) == want and len(got) == len(want) > 100
+
+
+def test_passages_go_back_to_where_they_come_from_in_the_end(spark):
+    """4 has 3's passage, which has 2's, which has 1's; 5 has more of 4's than 3 has."""
+    rows = [(2, 10, 110, 1, 0), (3, 20, 120, 2, 10), (4, 0, 100, 3, 20), (5, 0, 200, 4, 0)]
+    out = spark.createDataFrame([(d, 0, a, b, s, 0, x) for d, a, b, s, x in rows], "doc_id long, copy long, start_word long, end_word long, source_doc_id long, source_copy long, source_start long")
+    got = {r.doc_id: [(h.root, h.shift) for h in r.held] for r in passages.rooted(out).collect()}
+    assert got == {2: [(1, -10)], 3: [(1, -20)], 4: [(1, 0)], 5: [(4, 0)]}
