@@ -1,9 +1,12 @@
 """Work that stays in proportion to what is read, and batches that stay bounded."""
 
+import random
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from newsloom.functions import batches
+from newsloom.functions import batches, fixed
 from newsloom.llm import passages
 from newsloom.operators import dedup, editions
 
@@ -61,3 +64,16 @@ def test_repeated_lines_are_searched_once(monkeypatch):
     rest = np.arange(200, dtype=np.uint64)
     far = np.concatenate((np.arange(60, dtype=np.uint64) + np.uint64(30), np.uint64(500) + rest))
     assert passages.all_alike(rest, far, 0.8) == [(30, 90, 0, 60, 1.0)] and not calls
+
+
+def test_patterns_look_at_the_next_letter_first_and_match_the_same(spark):
+    patterns = [*fixed.CATEGORY_TERMS.values(), *fixed.SCORE_ONLY_TERMS.values(), fixed.DEPRIORITIZED, fixed.EXCEPTIONAL, fixed.EXCEPTIONAL_BOUNDED, fixed.GEOGRAPHY, "|".join(f"(?:{p})" for p in fixed.PERMISSION_DESIGN)]
+    assert all(fixed.led(p).startswith("(?i)(?=[") for p in patterns)
+    assert [fixed.first_letters(p) for p in (r"\bagent(?:s|ic)?\b|autonom", r"(?:\b(?:a|b[|(]) x)|\(c", r"^AI News\b", r"a?b", r"(?:a|b)?c", r"(?:x\)|y)z")] == [{"a"}, None, None, None, None, {"x", "y"}]
+    rng = random.Random(5)
+    words = re.findall("[A-Za-z0-9]+", " ".join(patterns)) + ["-", ".", "u.s.", "_", "K", "ſ", "é", "first-ever", "data  center"]
+    texts = ["".join(rng.choice((w, w.upper(), w.title())) + rng.choice((" ", " ", "", "-", "_")) for w in rng.choices(words, k=60)) for _ in range(400)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    unlike = [F.count_if(F.regexp_count("text", F.lit(fixed.led(p))) != F.regexp_count("text", F.lit(fixed.java(p)))) for p in patterns]
+    assert sum(frame.agg(*unlike).first()) == 0
+    assert sum(frame.agg(*(F.sum(F.regexp_count("text", F.lit(fixed.led(p)))) for p in patterns)).first()) > 2_000
