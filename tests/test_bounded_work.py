@@ -6,7 +6,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from newsloom.functions import batches, fixed
+from newsloom.functions import batches, fixed, text
 from newsloom.llm import passages
 from newsloom.operators import dedup, editions
 
@@ -77,3 +77,10 @@ def test_patterns_look_at_the_next_letter_first_and_match_the_same(spark):
     unlike = [F.count_if(F.regexp_count("text", F.lit(fixed.led(p))) != F.regexp_count("text", F.lit(fixed.java(p)))) for p in patterns]
     assert sum(frame.agg(*unlike).first()) == 0
     assert sum(frame.agg(*(F.sum(F.regexp_count("text", F.lit(fixed.led(p)))) for p in patterns)).first()) > 2_000
+
+
+def test_titles_and_summaries_take_their_text_apart_once(spark):
+    frame = spark.createDataFrame([("Lead: What came of it , and more. (Activity: 5) gone",), (None,), ("",), (" x " * 60,)], "t string")
+    made = frame.select(text.candidate_title(F.col("t")).alias("title"), text.candidate_summary(F.col("t")).alias("summary"))
+    assert plan(made).count("Activity") == 2
+    assert [tuple(r) for r in made.collect()] == [("Lead: What came of it", "Lead: What came of it, and more."), ("AI update", None), ("AI update", "AI update"), (" ".join(["x"] * 14), " ".join(["x"] * 45) + "…")]
